@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, pii
+from . import bpe, fingerprint, langid, mixing, pii, quality
 from .common import read_table
 
 
@@ -29,6 +29,26 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op7_pii, op8_mix)}
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from those that aren't held out."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    model = langid.fit(docs, usable=~held_out)
+    found = langid.predict(docs.select("doc_id", "text"), model, reject=False)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document, of its edited form, and how near its own is to the edited and the next one's."""
+    return fingerprint.edit_report(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, and whether it is kept."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return quality.score(docs, quality.fit(docs))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op3_langid, op7_pii, op8_mix, op9_fingerprint, op10_quality)}
 
 ORACLE_SQL: dict[str, str] = {}
