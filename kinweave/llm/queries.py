@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, mixing, pii, quality
+from . import ann, bpe, fingerprint, langid, licenses, mixing, pii, quality
 from .common import read_table
 
 
@@ -18,6 +18,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False, digests=True)
 
 
+def op4_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families found in every document."""
+    return licenses.report(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     return pii.report(read_table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -29,6 +34,11 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest by inner product of every vector whose id is divisible by 20."""
+    return ann.search(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("id") % 20 == 0)
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from those that aren't held out."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
@@ -49,6 +59,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op3_langid, op7_pii, op8_mix, op9_fingerprint, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_ann, op3_langid, op4_license, op7_pii, op8_mix, op9_fingerprint, op10_quality)}
 
 ORACLE_SQL: dict[str, str] = {}
