@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, fingerprint, jaccard, langid, licenses, mixing, pii, quality
+from . import ann, bpe, fingerprint, jaccard, langid, licenses, mixing, pii, quality, substrings
 from .common import read_table
 
 
@@ -23,6 +23,12 @@ def op4_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 50-byte strings that an earlier one has."""
+    left = substrings.remove_repeats(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose sets of 3-word shingles have a Jaccard similarity of 0.9 or more."""
     return jaccard.join(read_table(spark, sf_dir, "documents", "doc_id", "text"), words=3, num=90, den=100)
@@ -64,6 +70,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_ann, op3_langid, op4_license, op6_jaccard, op7_pii, op8_mix, op9_fingerprint, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_ann, op3_langid, op4_license, op5_substrings, op6_jaccard, op7_pii, op8_mix, op9_fingerprint, op10_quality)}
 
 ORACLE_SQL: dict[str, str] = {}
