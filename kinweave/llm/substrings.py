@@ -35,11 +35,14 @@ KMER = 20
 #: Windows of one piece at most; repetitive text would make endless ones.
 PIECE_WINDOWS = 64
 SHARD_BYTES = 10 << 20
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: Anchors of a hash range, and buckets of pieces for each shard.
 RANGE_ANCHORS = 400_000
 BUCKETS_PER_SHARD = 4
-ARRAY_BYTES = 6 << 20
+#: Pieces of a bucket are sorted in parts of about PART_BYTES, by anchor, so that the arrays fit in a processor's cache;
+#: a part beyond ARRAY_BYTES makes several arrays.
+PART_BYTES, ARRAY_BYTES = 1 << 20, 6 << 20
+PARTS = 256
 
 _U = np.uint64
 _BYTE = mix(np.arange(256, dtype=_U), 77)
@@ -64,7 +67,8 @@ def kmer_hashes(data: np.ndarray, k: int = KMER) -> np.ndarray:
         n = len(data) - width - add + 1
         h = h[:n] + _power(width) * parts[add][width : width + n]
         width, left = width + add, left - add
-    return mix(h, 5)
+    h = (h ^ h >> _U(32)) * _U(0xD6E8FEB86659FD93)
+    return h ^ h >> _U(29)
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -78,13 +82,14 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
 
 
 class Pieces:
-    """Pieces of a stretch of documents: start in the stretch, number of windows, anchor, content hash, document."""
+    """Pieces of a stretch of documents: start in the stretch, number of windows, anchor, document."""
 
     def __init__(self, data: np.ndarray, ends: np.ndarray) -> None:
         n = len(data) - WIDTH + 1
         if n <= 0:
             self.start = self.windows = self.doc = np.zeros(0, np.int64)
-            self.anchor = self.content = np.zeros(0, _U)
+            self.anchor = np.zeros(0, _U)
+            self._data = data
             return
         anchor = sliding_min(kmer_hashes(data), WIDTH - KMER + 1)
         valid = np.ones(n + WIDTH, bool)
@@ -106,17 +111,37 @@ class Pieces:
             windows = np.minimum(PIECE_WINDOWS, np.repeat(windows, cuts) - part * PIECE_WINDOWS)
         self.start, self.windows, self.anchor = heads, windows, anchor[heads]
         self.doc = np.searchsorted(ends, heads, side="right")
-        # polynomial hash of the piece: windows are summed from prefix sums of weighted bytes
-        pw = np.cumprod(np.concatenate(([_U(1)], np.full(len(data), _P))), dtype=_U)
-        prefix = np.concatenate(([_U(0)], np.cumsum(_BYTE[data] * pw[:-1], dtype=_U)))
-        size = windows + WIDTH - 1
-        raw = (prefix[heads + size] - prefix[heads]) * pw[len(data) - heads]
-        self.content = mix(raw * _power_inverse(len(data)) + size.astype(_U), 6)
+        self._data = data
+
+    def contents(self) -> np.ndarray:
+        """Polynomial hash of each piece's bytes, from prefix sums of bytes weighted by powers of the base."""
+        n = len(self.start)
+        if not n:
+            return np.zeros(0, _U)
+        data, size = self._data, self.windows + WIDTH - 1
+        pw = _powers(len(data) + 1)
+        prefix = np.concatenate(([_U(0)], np.cumsum(_BYTE[data] * pw[: len(data)], dtype=_U)))
+        raw = (prefix[self.start + size] - prefix[self.start]) * _inverse_powers(len(data) + 1)[self.start]
+        return mix(raw + size.astype(_U), 6)
+
+
+def _table(base: int, held: dict[int, np.ndarray], n: int) -> np.ndarray:
+    """Powers of a base modulo 2**64, kept for the next call."""
+    if base not in held or len(held[base]) < n:
+        held[base] = np.concatenate(([_U(1)], np.cumprod(np.full(2 * n, _U(base)), dtype=_U)))
+    return held[base]
+
+
+_HELD: dict[int, np.ndarray] = {}
 
 
-def _power_inverse(n: int) -> np.uint64:
-    """The inverse of P**n modulo 2**64, which makes a content hash independent of its place."""
-    return _U(pow(pow(int(_P), -1, 1 << 64), n, 1 << 64))
+def _powers(n: int) -> np.ndarray:
+    return _table(int(_P), _HELD, n)
+
+
+def _inverse_powers(n: int) -> np.ndarray:
+    """They make a content hash independent of its place."""
+    return _table(pow(int(_P), -1, 1 << 64), _HELD, n)
 
 
 def stretches(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -141,56 +166,56 @@ def _with_id(frame: pd.DataFrame) -> pd.DataFrame:
 # --- suffix arrays ---------------------------------------------------------------------------------------------------
 
 
-def suffix_ranks(text: np.ndarray, room: np.ndarray, depth: int = WIDTH) -> np.ndarray:
-    """Rank of each position by its first min(depth, room) bytes, by Larsson-Sadakane refinement.
+def words_at(text: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position on, as a big-endian number; by doubling."""
+    x = np.concatenate((text, np.zeros(8, np.uint8))).astype(_U)
+    for k in (1, 2, 4):
+        x = x[:-k] << _U(8 * k) | x[k:]
+    return x[: len(text)]
+
 
-    room: bytes from a position to its piece's end. Equal ranks mean equal prefixes. The first pass sorts by 8 bytes;
-    each further one doubles the prefix, and only groups of several suffixes are sorted again.
+def suffix_ranks(words: np.ndarray, room: np.ndarray, depth: int = WIDTH) -> np.ndarray:
+    """Rank of each position by its first `depth` bytes, by Larsson-Sadakane refinement.
+
+    words: 8 bytes from each position on; room: bytes from a position to its piece's end. The first pass sorts by 8
+    bytes; each further one doubles the prefix, and only groups of several suffixes are sorted again. A position with
+    less room than the prefix keeps the rank of the last prefix that it had room for, and is not asked for again.
     """
-    n = len(text)
-    padded = np.concatenate((text, np.zeros(8, np.uint8)))
-    key = np.zeros(n, _U)
-    for k in range(8):
-        key = key << _U(8) | np.where(room > k, padded[k : k + n], 0).astype(_U)
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    # a prefix cut short by its piece's end differs from one with zero bytes in that place
-    short = np.minimum(room[order], 8)
-    if (short < 8).any():
-        again = np.lexsort((short, key))
-        order, key, short = order[again], key[again], short[again]
-    head = np.concatenate(([True], (key[1:] != key[:-1]) | (short[1:] != short[:-1])))
-    del key
-    rank = np.empty(n, np.int64)
-    rank[order] = np.flatnonzero(head)[np.cumsum(head) - 1]
+    rank = np.zeros(len(words), np.int32)
+    pos = np.flatnonzero(room >= 8).astype(np.int32)
+    key = words[pos]
     width = 8
-    while width < depth:
-        step = min(width, depth - width)
-        # refine groups of more than one whose members reach beyond the prefix
-        alone = head & np.concatenate((head[1:], [True]))
-        at = np.flatnonzero(~alone)
-        if not len(at):
+    while len(pos):
+        by = np.argsort(key)
+        pos, key = pos[by], key[by]
+        head = np.concatenate(([True], key[1:] != key[:-1]))
+        at = np.flatnonzero(head)
+        sizes = np.diff(np.concatenate((at, [len(pos)])))
+        if width == 8:
+            first = at
+        else:  # places within the group of the shorter prefix
+            old = rank[pos[at]]
+            outer = np.concatenate(([True], old[1:] != old[:-1]))
+            first = old + at - at[outer][np.cumsum(outer) - 1]
+        rank[pos] = np.repeat(first.astype(np.int32), sizes)
+        if width == depth:
             break
-        pos = order[at]
-        follow = np.where(room[pos] > step, rank[np.minimum(pos + step, n - 1)], -1)
-        by = np.lexsort((follow, rank[pos]))
-        pos, follow = pos[by], follow[by]
-        order[at] = pos
-        same_group = ~head[at]
-        head[at] = ~same_group | np.concatenate(([True], follow[1:] != follow[:-1]))
-        group = np.flatnonzero(head)[np.cumsum(head)[at] - 1]
-        rank[pos] = group
+        step = min(width, depth - width)
+        more = np.repeat(sizes > 1, sizes)
+        pos = pos[more]
+        pos = pos[room[pos] >= width + step]
+        key = rank[pos].astype(_U) << _U(32) | rank[pos + step].astype(_U)
         width += step
     return rank
 
 
-def kasai(text: np.ndarray, order: np.ndarray, place: np.ndarray, start: np.ndarray, windows: np.ndarray, limit: int = WIDTH) -> np.ndarray:
-    """Common prefix, up to `limit` bytes, of each window with the one before it in `order`.
+def kasai(text: np.ndarray, words: np.ndarray, order: np.ndarray, place: np.ndarray, tied: np.ndarray, start: np.ndarray, windows: np.ndarray, limit: int = WIDTH) -> np.ndarray:
+    """Common prefix, up to `limit` bytes, of each window with the one before it in `order`; 0 where it isn't tied.
 
-    order: positions of windows, sorted; place: each position's index in it, -1 where no window begins. Kasai's
-    recurrence walks each piece from its first window on: the next window shares at least one byte less than this one,
-    if the neighbour's next position is a window too and sorts before it; else counting starts anew. All pieces walk
-    in step.
+    order: positions of windows, sorted; place: each position's index in it, -1 where no window begins; tied: whether
+    a position has the rank of its neighbour in order. Kasai's recurrence walks each piece from its first window on:
+    the next window shares at least one byte less than this one, if the neighbour's next position is a window too and
+    sorts before it; else counting starts anew, eight bytes at a time. All pieces walk in step.
     """
     lcp = np.zeros(len(order), np.int16)
     before = np.concatenate(([-1], order[:-1]))
@@ -199,22 +224,24 @@ def kasai(text: np.ndarray, order: np.ndarray, place: np.ndarray, start: np.ndar
     live = np.arange(len(start))
     for j in range(int(windows.max()) if len(windows) else 0):
         live = live[windows[live] > j]
-        pos = start[live] + j
+        use = tied[start[live] + j]
+        last[live[~use]] = -1
+        own = live[use]
+        pos = start[own] + j
         at = place[pos]
         prior = before[at]
-        follow = place[np.minimum(last[live] + 1, len(place) - 1)]
-        holds = (last[live] >= 0) & (follow >= 0) & (follow < at) & (prior >= 0)
-        h[live] = np.where(holds, np.maximum(h[live] - 1, 0), 0)
-        last[live] = prior
-        grow = live[prior >= 0]
-        p, q = pos[prior >= 0], prior[prior >= 0]
-        while len(grow):
-            more = h[grow] < limit
-            grow, p, q = grow[more], p[more], q[more]
-            same = text[p + h[grow]] == text[q + h[grow]]
-            grow, p, q = grow[same], p[same], q[same]
-            h[grow] += 1
-        lcp[at] = h[live]
+        follow = place[np.minimum(last[own] + 1, len(place) - 1)]
+        holds = (last[own] >= 0) & (follow >= 0) & (follow < at)
+        length = np.where(holds, np.maximum(h[own] - 1, 0), 0)
+        last[own] = prior
+        for unit, step in ((words, 8), (text, 1)):
+            grow = np.flatnonzero(length + step <= limit)
+            while len(grow):
+                grow = grow[unit[pos[grow] + length[grow]] == unit[prior[grow] + length[grow]]]
+                length[grow] += step
+                grow = grow[length[grow] + step <= limit]
+        h[own] = length
+        lcp[at] = length
     return lcp
 
 
@@ -224,38 +251,38 @@ class WindowArray:
     def __init__(self, text: np.ndarray, start: np.ndarray, windows: np.ndarray, low: np.ndarray) -> None:
         size = windows + WIDTH - 1
         room = np.repeat(start + size, size) - np.arange(len(text))
-        rank = suffix_ranks(text, room)
-        self.pos = np.repeat(start, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        order = self.pos[np.argsort(rank[self.pos], kind="stable")]
+        self.words = words_at(text)
+        rank = suffix_ranks(self.words, room)
+        pos = np.repeat(start, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+        of = rank[pos]
+        by = np.argsort(of)
+        order, of = pos[by], of[by]
         place = np.full(len(text), -1)
         place[order] = np.arange(len(order))
-        lcp = kasai(text, order, place, start, windows)
+        tied = np.zeros(len(text), bool)
+        tied[order[1:]] = of[1:] == of[:-1]
+        lcp = kasai(text, self.words, order, place, tied, start, windows)
         head = lcp < WIDTH
         head[:1] = True
         firsts = np.flatnonzero(head)
-        group = np.cumsum(head) - 1
-        self.group = group[place[self.pos]]  # of each window, piece after piece
-        self.low = np.minimum.reduceat(np.repeat(low, windows)[np.argsort(place[self.pos], kind="stable")], firsts) if len(firsts) else np.zeros(0, np.int64)
-        self.keys = _keys(text, order[firsts])
+        self.group = np.empty(len(pos), np.int64)  # of each window, piece after piece
+        self.group[by] = np.cumsum(head) - 1
+        self.low = np.minimum.reduceat(np.repeat(low, windows)[by], firsts) if len(firsts) else np.zeros(0, np.int64)
+        self.first = order[firsts]
+
+    def keys(self) -> np.ndarray:
+        """The distinct windows in order, as rows of words; the last word overlaps the one before."""
+        return np.stack([self.words[self.first + k] for k in (*range(0, WIDTH - 7, 8), WIDTH - 8)], 1)
 
     def merge(self, other: WindowArray) -> None:
         """Take over smaller ids of equal windows of the other array, and give it ours: by binary search."""
-        at = _search(other.keys, self.keys)
+        at = _search(other.keys(), self.keys())
         hit = np.flatnonzero(at >= 0)
         both = np.minimum(self.low[hit], other.low[at[hit]])
         self.low[hit] = both
         other.low[at[hit]] = both
 
 
-def _keys(text: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """Windows as big-endian words, one row each; the last word is filled up with zeros."""
-    words = -(-WIDTH // 8)
-    out = np.zeros((len(pos), words), _U)
-    for k in range(WIDTH):
-        out[:, k // 8] |= text[pos + k].astype(_U) << _U(56 - 8 * (k % 8))
-    return out
-
-
 def _search(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Index in `keys` (sorted rows) of each wanted row, or -1: one binary search for all, step by step."""
     low, high = np.zeros(len(wanted), np.int64), np.full(len(wanted), len(keys), np.int64)
@@ -276,6 +303,55 @@ def _search(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 # --- the passes ------------------------------------------------------------------------------------------------------
 
 
+def _smallest(text: np.ndarray, start: np.ndarray, windows: np.ndarray, content: np.ndarray, low: np.ndarray, high: np.ndarray, shard: np.ndarray, array_bytes: int) -> list[tuple]:
+    """The runs of `smallest` for some of a bucket's pieces: shard, contents, first and last windows, smallest ids."""
+    size = windows + WIDTH - 1
+    by = np.argsort(content, kind="stable")
+    firsts = np.flatnonzero(np.concatenate(([True], content[by][1:] != content[by][:-1])))
+    one = by[firsts]
+    lowest = np.minimum.reduceat(low[by], firsts)
+    kind = np.empty(len(content), np.int64)
+    kind[by] = np.repeat(np.arange(len(firsts)), np.diff(np.concatenate((firsts, [len(by)]))))
+    # arrays of bounded size over the distinct pieces
+    arrays, spans = [], []
+    filled = np.cumsum(size[one])
+    a = 0
+    while a < len(one):
+        b = max(a + 1, int(np.searchsorted(filled, filled[a] - size[one[a]] + array_bytes, side="right")))
+        own = one[a:b]
+        s = size[own]
+        local = np.cumsum(s) - s
+        arrays.append(WindowArray(text[np.repeat(start[own] - local, s) + np.arange(s.sum())], local, windows[own], lowest[a:b]))
+        spans.append((a, b))
+        a = b
+    for i in range(len(arrays)):
+        for j in range(i):
+            arrays[i].merge(arrays[j])
+    for i in reversed(range(len(arrays))):  # what later arrays have brought to one reaches all
+        for j in range(i):
+            arrays[j].merge(arrays[i])
+    found = np.concatenate([x.low[x.group] for x in arrays])
+    count = windows[one]
+    first = np.cumsum(count) - count
+    piece = np.repeat(np.arange(len(one)), count)
+    offset = np.arange(len(found)) - first[piece]
+    head = np.concatenate(([True], (found[1:] != found[:-1]) | (piece[1:] != piece[:-1])))
+    at = np.flatnonzero(head)
+    run_piece, run_start, run_low = piece[at], offset[at], found[at]
+    run_end = run_start + np.diff(np.concatenate((at, [len(found)])))
+    run_first = np.searchsorted(run_piece, np.arange(len(one) + 1))
+    runs = run_first[kind + 1] - run_first[kind]
+    entry = np.repeat(np.arange(len(kind)), runs)
+    run = np.repeat(run_first[kind] - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
+    use = run_low[run] < high[entry]
+    entry, run = entry[use], run[use]
+    by = np.argsort(shard[entry], kind="stable")
+    entry, run = entry[by], run[by]
+    to = shard[entry]
+    cut = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1], [True]))) if len(to) else np.zeros(0, np.int64)
+    return [(int(to[a]), content[entry[a:b]].tobytes(), run_start[run[a:b]].astype(np.uint8).tobytes(), run_end[run[a:b]].astype(np.uint8).tobytes(), run_low[run[a:b]].tobytes()) for a, b in zip(cut, cut[1:], strict=False)]
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, array_bytes: int = ARRAY_BYTES) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary, what is left)."""
     bounded_batches(docs.sparkSession)
@@ -338,13 +414,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def pieces(frame: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         """A shard's distinct pieces with shared anchors, by bucket, with the smallest and largest id that has each."""
-        columns = ["bucket", "shard", "content", "low", "high", "windows", "bytes"]
+        columns = ["bucket", "shard", "content", "low", "high", "windows", "part", "bytes"]
         frame = _with_id(frame)
         if not len(frame) or not len(wanted):
             return pd.DataFrame(columns=columns)
         keys = np.sort(np.concatenate([np.frombuffer(x, np.uint32).astype(_U) | _U(int(r) << 32) for r, x in zip(wanted["range"], wanted["anchors"], strict=True)]))
         ids = frame["id"].to_numpy(np.int64)
-        parts: dict[str, list[np.ndarray]] = {k: [] for k in ("content", "low", "high", "windows", "bucket")}
+        parts: dict[str, list[np.ndarray]] = {k: [] for k in ("content", "low", "high", "windows", "bucket", "part")}
         texts = []
         for data, ends, rows in stretches(frame):
             p = Pieces(data, ends)
@@ -352,7 +428,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             key = low32.astype(_U) | r.astype(_U) << _U(32)
             at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
             hit = np.flatnonzero(keys[at] == key)
-            content, doc = p.content[hit], ids[rows[p.doc[hit]]]
+            content, doc = p.contents()[hit], ids[rows[p.doc[hit]]]
             by = np.lexsort((doc, content))
             hit, content, doc = hit[by], content[by], doc[by]
             firsts = np.flatnonzero(np.concatenate(([True], content[1:] != content[:-1]))[: len(content)])
@@ -363,7 +439,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             parts["low"].append(doc[firsts])
             parts["high"].append(np.maximum.reduceat(doc, firsts))
             parts["windows"].append(p.windows[one])
-            parts["bucket"].append((mix(p.anchor[one], 9) % _U(buckets)).astype(np.int64))
+            dealt = mix(p.anchor[one], 9)
+            parts["bucket"].append((dealt % _U(buckets)).astype(np.int64))
+            parts["part"].append((dealt >> _U(56)).astype(np.uint8))
             size = p.windows[one] + WIDTH - 1
             gather = np.repeat(p.start[one] - np.cumsum(size) + size, size) + np.arange(size.sum())
             texts.append(data[gather])
@@ -386,65 +464,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             own = one[a:b]
             size_ = size[own]
             gather = np.repeat(start[own] - np.cumsum(size_) + size_, size_) + np.arange(size_.sum())
-            out.append((int(bucket[a]), shard, content[a:b].tobytes(), low[a:b].tobytes(), high[a:b].tobytes(), joined["windows"][own].astype(np.uint8).tobytes(), text[gather].tobytes()))
+            out.append((int(bucket[a]), shard, content[a:b].tobytes(), low[a:b].tobytes(), high[a:b].tobytes(), joined["windows"][own].astype(np.uint8).tobytes(), joined["part"][own].tobytes(), text[gather].tobytes()))
         return pd.DataFrame(out, columns=columns)
 
     def smallest(frame: pd.DataFrame) -> pd.DataFrame:
         """For each shard's pieces of a bucket, runs of windows with the smallest id of any document, where that is
         below the largest id that the shard has for the piece."""
-        content = np.concatenate([np.frombuffer(x, _U) for x in frame["content"]])
-        low = np.concatenate([np.frombuffer(x, np.int64) for x in frame["low"]])
-        high = np.concatenate([np.frombuffer(x, np.int64) for x in frame["high"]])
-        windows = np.concatenate([np.frombuffer(x, np.uint8) for x in frame["windows"]]).astype(np.int64)
+        whole = {c: np.concatenate([np.frombuffer(x, t) for x in frame[c]]) for c, t in (("content", _U), ("low", np.int64), ("high", np.int64), ("windows", np.uint8), ("part", np.uint8))}
+        whole["windows"] = whole["windows"].astype(np.int64)
+        whole["shard"] = np.repeat(frame["shard"].to_numpy(), [len(x) for x in frame["windows"]])
         text = np.frombuffer(b"".join(frame["bytes"]), np.uint8)
-        shard = np.repeat(frame["shard"].to_numpy(), [len(x) for x in frame["windows"]])
-        size = windows + WIDTH - 1
-        start = np.cumsum(size) - size
-        by = np.lexsort((windows, content))
-        firsts = np.flatnonzero(np.concatenate(([True], content[by][1:] != content[by][:-1])))
-        one = by[firsts]
-        lowest = np.minimum.reduceat(low[by], firsts)
-        kind = np.empty(len(content), np.int64)
-        kind[by] = np.repeat(np.arange(len(firsts)), np.diff(np.concatenate((firsts, [len(by)]))))
-        # arrays of bounded size over the distinct pieces
-        arrays, spans = [], []
-        filled = np.cumsum(size[one])
-        a = 0
-        while a < len(one):
-            b = max(a + 1, int(np.searchsorted(filled, filled[a] - size[one[a]] + array_bytes, side="right")))
-            own = one[a:b]
-            s = size[own]
-            local = np.cumsum(s) - s
-            arrays.append(WindowArray(text[np.repeat(start[own] - local, s) + np.arange(s.sum())], local, windows[own], lowest[a:b]))
-            spans.append((a, b))
-            a = b
-        for i in range(len(arrays)):
-            for j in range(i):
-                arrays[i].merge(arrays[j])
-        for i in reversed(range(len(arrays))):  # what later arrays have brought to one reaches all
-            for j in range(i):
-                arrays[j].merge(arrays[i])
-        found = np.concatenate([x.low[x.group] for x in arrays])
-        count = windows[one]
-        first = np.cumsum(count) - count
-        piece = np.repeat(np.arange(len(one)), count)
-        offset = np.arange(len(found)) - first[piece]
-        head = np.concatenate(([True], (found[1:] != found[:-1]) | (piece[1:] != piece[:-1])))
-        at = np.flatnonzero(head)
-        run_piece, run_start, run_low = piece[at], offset[at], found[at]
-        run_end = run_start + np.diff(np.concatenate((at, [len(found)])))
-        run_first = np.searchsorted(run_piece, np.arange(len(one) + 1))
-        runs = run_first[kind + 1] - run_first[kind]
-        entry = np.repeat(np.arange(len(kind)), runs)
-        run = np.repeat(run_first[kind] - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
-        use = run_low[run] < high[entry]
-        entry, run = entry[use], run[use]
-        by = np.argsort(shard[entry], kind="stable")
-        entry, run = entry[by], run[by]
-        to = shard[entry]
-        cut = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1], [True]))) if len(to) else np.zeros(0, np.int64)
-        out = [(int(to[a]), content[entry[a:b]].tobytes(), run_start[run[a:b]].astype(np.uint8).tobytes(), run_end[run[a:b]].astype(np.uint8).tobytes(), run_low[run[a:b]].tobytes()) for a, b in zip(cut, cut[1:], strict=False)]
-        return pd.DataFrame(out, columns=["shard", "content", "first", "last", "low"])
+        size = whole["windows"] + WIDTH - 1
+        whole["start"] = np.cumsum(size) - size
+        n = min(PARTS, max(1, len(text) // PART_BYTES))
+        part = whole["part"].astype(np.int64) * n // PARTS
+        by = np.argsort(part, kind="stable")
+        cut = np.searchsorted(part[by], np.arange(n + 1))
+        out = [_smallest(text, *(whole[c][by[a:b]] for c in ("start", "windows", "content", "low", "high", "shard")), array_bytes) for a, b in zip(cut, cut[1:], strict=False) if a < b]
+        return pd.DataFrame([row for rows in out for row in rows], columns=["shard", "content", "first", "last", "low"])
 
     def apply(frame: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
         """Remove from a shard's documents what their pieces' runs say."""
@@ -459,7 +496,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         out = []
         for data, ends, rows in stretches(frame):
             p = Pieces(data, ends)
-            a, b = np.searchsorted(content, p.content, side="left"), np.searchsorted(content, p.content, side="right")
+            own = p.contents()
+            a, b = np.searchsorted(content, own, side="left"), np.searchsorted(content, own, side="right")
             n = b - a
             which = np.repeat(np.arange(len(n)), n)
             run = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
@@ -481,7 +519,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     by_range = sharded.groupBy("shard").applyInPandas(anchors, "range long, shard int, anchors binary, many binary")
     wanted = by_range.groupBy("range").applyInPandas(shared, "shard int, range long, anchors binary")
-    found = sharded.groupBy("shard").cogroup(wanted.groupBy("shard")).applyInPandas(pieces, "bucket long, shard int, content binary, low binary, high binary, windows binary, bytes binary")
+    found = sharded.groupBy("shard").cogroup(wanted.groupBy("shard")).applyInPandas(pieces, "bucket long, shard int, content binary, low binary, high binary, windows binary, part binary, bytes binary")
     runs = found.groupBy("bucket").applyInPandas(smallest, "shard int, content binary, first binary, last binary, low binary")
     out = sharded.groupBy("shard").cogroup(runs.groupBy("shard")).applyInPandas(apply, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumnRenamed("id", id_col)
