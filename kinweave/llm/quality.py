@@ -109,7 +109,9 @@ def votes(text: str | None) -> list[int] | None:
 
 
 def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
-    """Posterior of good for each vote pattern, the labellers' accuracies (class by labeller) and the share of good.
+    """Posterior of good for each vote pattern, the labellers' accuracies and the share of good.
+
+    An accuracy is the share of bad texts to which a labeller objects, and of good ones to which it doesn't.
 
     Labellers vote independently within a class; each has its own rates of voting bad, abstaining and voting good in
     each class. A prior worth ANCHOR of all texts holds that objections are rare among good texts and common among bad
@@ -133,8 +135,7 @@ def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.
         post = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
         if np.abs(post - old).max() < 1e-9:
             break
-    said = rates[:, :, [0, 2]] / rates[:, :, [0, 2]].sum(2, keepdims=True)  # of the votes cast
-    return post, np.stack([said[0, :, 0], said[1, :, 1]]), prior
+    return post, np.stack([rates[0, :, 0], 1 - rates[1, :, 0]]), prior
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +192,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
         for frame in frames:
             found = [votes(t if isinstance(t, str) else None) for t in frame["text"]]
             keep = [k for k, v in enumerate(found) if v is not None]
-            yield pd.DataFrame({"id": frame["id"].iloc[keep], "votes": ["".join("-0+"[x + 1] for x in found[k]) for k in keep]})
+            if keep:
+                yield pd.DataFrame({"id": frame["id"].iloc[keep], "votes": ["".join("-0+"[x + 1] for x in found[k]) for k in keep]})
 
     voted = materialize(given.mapInPandas(run, "id string, votes string"), "quality-votes")
     seen = voted.groupBy("votes").count().orderBy("votes").collect()

@@ -32,12 +32,13 @@ def test_separates(docs):
 
 def test_em_learns_who_is_right():
     rng = np.random.default_rng(0)
-    truth = rng.random(5000) < 0.8
-    right = [0.95, 0.8, 0.6]
-    votes = np.stack([np.where(rng.random(5000) < a, truth, ~truth) * 2 - 1 for a in right], 1)
+    good = rng.random(20_000) < 0.8
+    caught = np.array([0.9, 0.6, 0.3])
+    votes = np.stack([-(rng.random(20_000) < np.where(good, 0.01, c)).astype(int) for c in caught], 1)
     patterns, counts = np.unique(votes, axis=0, return_counts=True)
     post, accuracies, prior = quality.em(patterns, counts.astype(float))
-    assert accuracies[:, 0].mean() > accuracies[:, 2].mean()
+    assert (np.diff(accuracies[0]) < -0.1).all() and (accuracies[1] > 0.97).all() and abs(prior - 0.8) < 0.05
+    assert post[(patterns == -1).all(1)][0] < 0.01 < 0.9 < post[(patterns == 0).all(1)][0]
 
 
 def test_corner_cases(docs):
