@@ -88,7 +88,9 @@ def parse_lists(lines: DataFrame, header: tuple[str, str]) -> tuple[DataFrame, D
     cells = F.split("value", "\t")
     lists = body.filter(F.instr("value", "\t") > 0).select(cells[0].alias("s1_id"), F.filter(F.transform(F.split(F.coalesce(F.get(cells, 1), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "").alias("ids"))
     wrong = head.filter(F.array_join(F.transform(F.split(first, "\t"), lambda x: F.trim(x)), "\t") != "\t".join(header))
+    empty = lines.agg(F.count("*").alias("lines")).filter("lines = 0").select(F.lit("").alias("value"))
     found = [
+        finding(empty, "value", "format:empty_file"),
         finding(wrong.filter((F.instr("value", "\t") == 0) & (F.instr("value", ",") > 0)), "value", "format:commas_for_tabs"),
         finding(wrong.filter((F.instr("value", "\t") > 0) | (F.instr("value", ",") == 0)), "value", "format:wrong_header"),
         finding(body.filter(F.instr("value", "\t") == 0), "line", "format:row_without_tab"),

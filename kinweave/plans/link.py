@@ -125,17 +125,20 @@ def run(spark: SparkSession, data_dir: str, out_dir: str, config: LinkConfig, ca
 def validate_outputs(spark: SparkSession, matching: str, candidate: str | None, required: DataFrame, known: DataFrame | None) -> DataFrame:
     """Report on result files (or folders of part files that each repeat the header)."""
     from ..operators import validate as rules
-    from ..sources import tsv
+    from ..sources import cache, tsv
 
     reports, lists = [], {}
     for kind, path in (("matching", matching), ("candidate", candidate)):
         if path is None:
             continue
+        if not cache.exists(spark, path):
+            reports.append(spark.createDataFrame([(rules.ERROR, f"{kind}:no_such_file", 1, path)], "severity string, rule string, n bigint, examples string"))
+            continue
         header = "\t".join(tsv.HEADERS[kind])
         lines = tsv.numbered_lines(spark, path).filter(~((F.col("line") > 0) & (F.col("value") == header)))
         lists[kind], found = rules.parse_lists(lines, tsv.HEADERS[kind])
         reports += [found, rules.list_report(lists[kind], required, known, kind)]
-    if "candidate" in lists:
+    if len(lists) == 2:
         reports.append(rules.matches_beyond_candidates(lists["matching"], lists["candidate"]))
     out = reports[0]
     for r in reports[1:]:

@@ -212,3 +212,23 @@ def test_stream_like_batch(spark, data, tmp_path):
     link_stream(arriving, s2, lambda df, k: df.write.mode("overwrite").parquet(str(tmp_path / f"out/b={k}")), str(tmp_path / "ck"), max_df=20, most=5).awaitTermination()
     got = pairs_of(spark.read.parquet(str(tmp_path / "out")))
     assert got == pairs_of(blocking.cap_ranked(blocking.by_tokens(s1, s2, max_df=20), 5))
+
+
+def test_missing_and_empty_files(spark, tmp_path):
+    required = spark.createDataFrame([("S1-1",)], "s1_id string")
+    assert [r["rule"] for r in link.validate_outputs(spark, str(tmp_path / "none.tsv"), None, required, None).collect()] == ["matching:no_such_file"]
+    (tmp_path / "e.tsv").write_text("")
+    assert "format:empty_file" in [r["rule"] for r in link.validate_outputs(spark, str(tmp_path / "e.tsv"), None, required, None).collect()]
+
+
+def test_command_line(spark, folder, tmp_path, capsys):
+    from kinweave.plans import cli
+
+    assert cli.main(["audit", "--data-dir", folder]) == 0
+    out = cli.bench(spark, "blocking", folder, 50, 30, 2, 42)
+    assert out["pairs"] > 0 and 0 < out["recall"] <= 1
+    ids = [r["entity_id"] for r in tsv.load_source(spark, f"{folder}/test_source1.tsv", "S1-").collect()]
+    good = write_tsv(tmp_path / "m.tsv", tsv.HEADERS["matching"], [[i, ""] for i in ids])
+    assert cli.main(["validate", "--matching", good, "--test-dir", folder, "--check-ids"]) == 0
+    bad = write_tsv(tmp_path / "b.tsv", tsv.HEADERS["matching"], [[i, ""] for i in ids[1:]])
+    assert cli.main(["validate", "--matching", bad, "--test-dir", folder]) == 1
