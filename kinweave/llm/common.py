@@ -52,6 +52,15 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Ids that may be broadcast: 8 bytes each, so 32 MB. Beyond, joins shuffle both sides.
+BROADCAST_IDS = 2_000_000
+
+
+def few_ids(ids: DataFrame) -> DataFrame:
+    """A materialized table of ids, marked for broadcast if its counted rows are few enough, else as it is."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """Total UTF-8 bytes of a text column, for sizing shards."""
     return int(df.agg(F.coalesce(F.sum(F.octet_length(column).cast("long")), F.lit(0)).alias("n")).first()["n"])

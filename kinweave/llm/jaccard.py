@@ -5,8 +5,12 @@
    similar sets differ in at most k elements. The feature domain is dealt into n1 partitions of n2 parts each; in some
    partition the sets then differ in at most k2 parts, so that some choice of n2 - k2 of its parts holds the same
    elements of both. Each such choice is a signature: similar sets share at least one.
-3. Sets that share a signature are tied to the smallest of them, not to each other, which makes candidate groups:
-   connected components that contain whole classes of linked sets.
+3. Sets that share a signature may be similar unless their sketches rule it out: the sums of differences between
+   counts of elements in buckets never exceed the number of elements that differ. The sets that share signatures with
+   one smallest id fall into classes joined by pairs not ruled out; each is tied to the smallest of its class, not to
+   all others.
+   The ties make candidate groups: connected components that contain whole classes of linked sets. Very frequent
+   signatures tie all their sets without looking at sketches.
 4. Within a candidate group, links are found exactly: a search from set to set counts overlaps through postings of
    the sets not yet reached, so that each link to a set already reached costs nothing. Large groups are dealt into
    blocks, and every two blocks meet in one task.
@@ -27,13 +31,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, materialize
+from .common import bounded_batches, few_ids, materialize, parts_for, text_bytes
 from .components import components
 
 #: A candidate group beyond these is dealt into blocks.
 BLOCK_SETS = 4096
 BLOCK_SHINGLES = 1_500_000
 
+#: Signatures with more sets, or so many in one batch of rows, tie all of them.
+MAX_SHARERS, MAX_IN_BATCH = 16_384, 48
+#: Sketches of so many sets are compared at once.
+MATRIX_SETS = 128
+#: Bytes of text whose signatures one task brings together.
+BUCKET_BYTES = 8 << 20
+
 _U = np.uint64
 
 
@@ -101,7 +112,9 @@ class Scheme:
             raise ValueError("the threshold is above 0 and at most 1")
         self.num, self.den = num, den
         self.low = [1]
-        ratio = (den / num) ** (3 if num / den > 0.85 else 2)
+        # Partitions must seldom have an empty part, or emptiness becomes a signature that many sets share. At lower
+        # thresholds parts are small, so that bands are narrower and more partitions are spare.
+        ratio, self.spare = ((den / num) ** 3, 0.1) if num / den > 0.85 else (den / num, 0.4)
         while self.low[-1] < 1 << 40:
             self.low.append(max(self.low[-1] + 1, int(self.low[-1] * ratio)))
         self._low = np.array(self.low)
@@ -121,8 +134,10 @@ class Scheme:
             return 1, 1, 0, 0
         if k <= 3:
             return 1, k + 3, k, 0
+        # two parts, of which one may differ, make the fewest signatures: k + 1 and what the spare partitions add
         n1 = k // 2 + 1
-        return n1 + n1 // 10, 3, 1, n1 // 10
+        spare = int(n1 * self.spare) + 1
+        return n1 + spare, 2, 1, spare
 
     def linked(self, inter: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Exactly whether intersection / union >= num / den."""
@@ -216,58 +231,284 @@ def classes(sets: list[np.ndarray], scheme: Scheme) -> np.ndarray:
     return label
 
 
-def sets_table(docs: DataFrame, words: int, scheme: Scheme, id_col: str, text_col: str) -> DataFrame:
-    """id, n (shingles), f1 and f2 (fingerprint of the set), sigs (signatures to match elsewhere) and ties (smaller ids
-    of the same batch that share a signature; only the smallest id of a batch carries the signature on)."""
+def _frame_sets(frame: pd.DataFrame, words: int) -> list[np.ndarray]:
+    return [shingles(t if isinstance(t, str) else None, words) for t in frame["text"]]
+
+
+def sketch(elements: np.ndarray) -> np.ndarray:
+    """Counts of the elements in buckets, a power of two of them, a quarter to a half as many as elements; each at most 255."""
+    bits = min(14, max(4, (len(elements) // 4).bit_length()))
+    return np.minimum(np.bincount((mix(elements, 51) >> _U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+
+
+class Sketches:
+    """Sketches of some sets at every level that they have: a coarser level adds neighbouring buckets up."""
+
+    def __init__(self, sketches: list[np.ndarray], size: np.ndarray) -> None:
+        self.size = size
+        self.bits = np.array([len(x).bit_length() - 1 for x in sketches])
+        self.full = np.array([bool((x == 255).any()) for x in sketches])  # such a bucket no longer counts
+        self.at: dict[int, np.ndarray] = {}
+        for bits in np.unique(self.bits).tolist():
+            rows = np.zeros((len(sketches), 1 << bits), np.uint8)
+            for k in np.flatnonzero(self.bits >= bits):
+                rows[k] = np.minimum(sketches[k].reshape(1 << bits, -1).sum(1, dtype=np.int64), 255)
+            self.at[bits] = rows
+
+    def unruled(self, i: int, others: np.ndarray, scheme: Scheme) -> np.ndarray:
+        """Those of the others that may be similar to set i: their differences are few enough."""
+        level = np.minimum(self.bits[others], self.bits[i])
+        keep = self.full[others] | self.full[i]
+        for bits in np.unique(level).tolist():
+            own = np.flatnonzero(level == bits)
+            rows, one = self.at[bits][others[own]], self.at[bits][i]
+            differ = (np.maximum(rows, one) - np.minimum(rows, one)).sum(1, dtype=np.int32)
+            keep[own] |= differ * (scheme.den + scheme.num) <= (self.size[others[own]] + self.size[i]) * (scheme.den - scheme.num)
+        return others[keep]
+
+
+    def classes(self, scheme: Scheme) -> np.ndarray:
+        """The classes of all sets, from a matrix of all pairs: for few sets, that is the quicker way."""
+        n = len(self.size)
+        level = np.minimum(self.bits[:, None], self.bits)
+        linked = self.full[:, None] | self.full
+        bound = (self.size[:, None] + self.size) * (scheme.den - scheme.num) // (scheme.den + scheme.num)
+        for bits, rows in self.at.items():
+            differ = (np.maximum(rows[:, None], rows) - np.minimum(rows[:, None], rows)).sum(2, dtype=np.int32)
+            linked |= (level == bits) & (differ <= bound)
+        np.fill_diagonal(linked, True)
+        label = np.arange(n)
+        while True:
+            new = np.where(linked, label, n).min(1)
+            new = new[new]
+            if (new == label).all():
+                return label
+            label = new
+
+
+def unruled_classes(sketches: list[np.ndarray], size: np.ndarray, scheme: Scheme) -> np.ndarray:
+    """For each set, the first set of its class: sets joined by pairs that neither sizes nor sketches rule out."""
+    n = len(size)
+    table = Sketches(sketches, size)
+    if n <= MATRIX_SETS:
+        return table.classes(scheme)
+    by_size = np.argsort(size, kind="stable")
+    ordered = size[by_size]
+    label = np.full(n, -1)
+    for root in range(n):
+        if label[root] >= 0:
+            continue
+        label[root] = root
+        queue = [root]
+        while queue:
+            i = queue.pop()
+            near = by_size[np.searchsorted(ordered, -(-size[i] * scheme.num // scheme.den)) : np.searchsorted(ordered, size[i] * scheme.den // scheme.num, side="right")]
+            near = near[label[near] < 0]
+            if len(near):
+                hit = table.unruled(i, near, scheme)
+                label[hit] = root
+                queue += hit.tolist()
+    return label
+
+
+def _frame_sets(frame: pd.DataFrame, words: int) -> list[np.ndarray]:
+    return [shingles(t if isinstance(t, str) else None, words) for t in frame["text"]]
+
+
+def sketch(elements: np.ndarray) -> np.ndarray:
+    """Counts of the elements in buckets, a power of two of them, a quarter to a half as many as elements; each at most 255."""
+    bits = min(14, max(4, (len(elements) // 4).bit_length()))
+    return np.minimum(np.bincount((mix(elements, 51) >> _U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+
+
+def folded(sketches: list[np.ndarray]) -> np.ndarray:
+    """Sketches as rows of one length: longer ones add neighbouring buckets up."""
+    n = min(map(len, sketches))
+    return np.stack([x.reshape(n, -1).sum(1, dtype=np.int32) for x in sketches])
+
+
+def unruled_classes(sketches: list[np.ndarray], size: np.ndarray, scheme: Scheme) -> np.ndarray:
+    """For each set, the first set of its class: sets joined by pairs that sketches don't rule out."""
+    n = len(size)
+    if any((x == 255).any() for x in sketches):  # a full bucket no longer counts
+        return np.zeros(n, np.int64)
+    rows = folded(sketches)
+    label = np.full(n, -1)
+    for root in range(n):
+        if label[root] >= 0:
+            continue
+        label[root] = root
+        queue = [root]
+        while queue:
+            left = np.flatnonzero(label < 0)
+            if not len(left):
+                break
+            i = queue.pop()
+            differ = np.abs(rows[left] - rows[i]).sum(1)
+            hit = left[differ * (scheme.den + scheme.num) <= (size[left] + size[i]) * (scheme.den - scheme.num)]
+            label[hit] = root
+            queue += hit.tolist()
+    return label
+
+
+def _frame_sets(frame: pd.DataFrame, words: int) -> list[np.ndarray]:
+    return [shingles(t if isinstance(t, str) else None, words) for t in frame["text"]]
+
+
+def facts_table(given: DataFrame, words: int) -> DataFrame:
+    """id, n (shingles), f1 and f2 (fingerprint of the set) and its sketch. given: id, text."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            sets = _frame_sets(frame, words)
+            prints = [[int(mix(s, k).sum(dtype=_U).view(np.int64)) for s in sets] for k in (41, 42)]
+            yield pd.DataFrame({"id": frame["id"], "n": [len(s) for s in sets], "f1": prints[0], "f2": prints[1], "sketch": [sketch(s).tobytes() for s in sets]})
+
+    return given.mapInPandas(run, "id bigint, n bigint, f1 bigint, f2 bigint, sketch binary")
+
+
+def _blob(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x).tobytes()
+
+
+def _whole(column: pd.Series, kind: type) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in column)])
+
+
+def signature_table(given: DataFrame, words: int, scheme: Scheme, buckets: int) -> DataFrame:
+    """The signatures of each batch of sets by bucket, packed: sigs with ids; every_sigs with every_ids; tie_a, tie_b.
+
+    Where a batch has very many sets with one signature, only the smallest id carries it on, among every_sigs: it
+    stands for all of them, to which it is tied. given: id, text.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            frame = frame.sort_values("id", na_position="last", kind="stable")
-            sets = [shingles(t if isinstance(t, str) else None, words) for t in frame["text"]]
-            ids = frame["id"].to_numpy("int64", na_value=0) if len(frame) else np.zeros(0, np.int64)
-            known = frame["id"].notna().to_numpy()
-            owner, sig = signatures([s if ok else s[:0] for s, ok in zip(sets, known, strict=True)], scheme)
+            frame = frame[frame["id"].notna()].sort_values("id", kind="stable")
+            ids = frame["id"].to_numpy(np.int64)
+            owner, sig = signatures(_frame_sets(frame, words), scheme)
+            if not len(sig):
+                continue
             by = np.lexsort((owner, sig))
             owner, sig = owner[by], sig[by]
-            head = np.concatenate(([True], sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, bool)
-            lead = owner[head][np.cumsum(head) - 1] if len(sig) else owner
-            tied = np.unique(np.stack((owner, lead), 1)[owner != lead], axis=0) if len(sig) else np.zeros((0, 2), np.int64)
-            mine, values = owner[head], sig[head].view(np.int64)
-            back = np.argsort(mine, kind="stable")
-            cut = np.searchsorted(mine[back], np.arange(len(frame) + 1))
-            values = values[back]
-            tie_cut = np.searchsorted(tied[:, 0], np.arange(len(frame) + 1))
-            tie_ids = ids[tied[:, 1]]
-            yield pd.DataFrame(
-                {
-                    "id": frame["id"],
-                    "n": [len(s) for s in sets],
-                    "f1": [int(mix(s, 41).sum(dtype=_U).view(np.int64)) for s in sets],
-                    "f2": [int(mix(s, 42).sum(dtype=_U).view(np.int64)) for s in sets],
-                    "sigs": [values[cut[k] : cut[k + 1]] for k in range(len(frame))],
-                    "ties": [tie_ids[tie_cut[k] : tie_cut[k + 1]] for k in range(len(frame))],
-                }
-            )
-
-    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return given.mapInPandas(run, "id bigint, n bigint, f1 bigint, f2 bigint, sigs array<bigint>, ties array<bigint>")
+            head = np.concatenate(([True], sig[1:] != sig[:-1]))
+            at = np.flatnonzero(head)
+            count = np.diff(np.concatenate((at, [len(sig)])))
+            many = np.repeat(count > MAX_IN_BATCH, count)
+            tied = np.unique(ids[np.stack((owner, np.repeat(owner[at], count)), 1)[many & ~head]], axis=0)
+            every_sig, every_id = sig[many & head], ids[owner[many & head]]
+            owner, sig = owner[~many], sig[~many]
+            bucket = (sig % _U(buckets)).astype(np.int64)
+            by = np.lexsort((owner, bucket))  # in order of owners, ids repeat and pack well
+            owner, sig, bucket = owner[by], sig[by], bucket[by]
+            cut = np.searchsorted(bucket, np.arange(buckets + 1))
+            to = (every_sig % _U(buckets)).astype(np.int64)
+            tie_to = tied[:, 1] % buckets
+            rows = []
+            for k in np.unique(np.concatenate((bucket, to, tie_to))).tolist():
+                own = slice(cut[k], cut[k + 1])
+                rows.append((k, _blob(sig[own]), _blob(ids[owner[own]]), _blob(every_sig[to == k]), _blob(every_id[to == k]), _blob(tied[tie_to == k, 0]), _blob(tied[tie_to == k, 1])))
+            yield pd.DataFrame(rows, columns=["bucket", "sigs", "ids", "every_sigs", "every_ids", "tie_a", "tie_b"])
+
+    return given.mapInPandas(run, "bucket int, sigs binary, ids binary, every_sigs binary, every_ids binary, tie_a binary, tie_b binary")
+
+
+def sharers_of(table: DataFrame, buckets: int) -> DataFrame:
+    """Groups of sets that share a signature, packed by a bucket of their smallest id (near, lengths, members), and ties
+    (tie_a, tie_b) of those that need no sketches. Of signatures with the same sharers, one is enough."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        sig = np.concatenate((_whole(frame["sigs"], _U), _whole(frame["every_sigs"], _U)))
+        ids, every_ids = _whole(frame["ids"], np.int64), _whole(frame["every_ids"], np.int64)
+        every = np.concatenate((np.zeros(len(ids), bool), np.ones(len(every_ids), bool)))
+        ids = np.concatenate((ids, every_ids))
+        by = np.argsort(sig, kind="stable")
+        sig = sig[by]
+        at = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))[: len(sig)])
+        count = np.diff(np.concatenate((at, [len(sig)])))
+        shared = np.repeat(count > 1, count)
+        by, group = by[shared], np.repeat(np.arange(len(at)), count)[shared]
+        ids, every = ids[by], every[by]
+        order = np.lexsort((ids, group))
+        ids, every, group = ids[order], every[order], group[order]
+        at = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))[: len(group)])
+        count = np.diff(np.concatenate((at, [len(group)])))
+        a, b = [_whole(frame["tie_a"], np.int64)], [_whole(frame["tie_b"], np.int64)]
+        rows = []
+        if len(at):
+            loose = np.logical_or.reduceat(every, at) | (count > MAX_SHARERS)
+            star = np.repeat(loose, count)
+            a.append(ids[star])
+            b.append(np.repeat(ids[at], count)[star])
+            who = np.add.reduceat(mix(ids.view(_U), 61), at) + count.astype(_U)
+            _, one = np.unique(np.where(loose, _U(0), who), return_index=True)
+            one = one[~loose[one]]
+            near = (mix(ids[at[one]].view(_U), 62) % _U(buckets)).astype(np.int64)
+            by = np.argsort(near, kind="stable")
+            one, near = one[by], near[by]
+            cut = np.flatnonzero(np.concatenate(([True], near[1:] != near[:-1], [True]))) if len(one) else np.zeros(0, np.int64)
+            for x, y in zip(cut, cut[1:], strict=False):
+                n, first = count[one[x:y]], at[one[x:y]]
+                rows.append((int(near[x]), _blob(n.astype(np.int32)), _blob(ids[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]), b"", b""))
+        a, b = np.concatenate(a), np.concatenate(b)
+        pairs = np.unique(np.stack((a, b), 1)[a != b], axis=0)
+        if len(pairs):
+            rows.append((-1, b"", b"", _blob(pairs[:, 0]), _blob(pairs[:, 1])))
+        return pd.DataFrame(rows, columns=["near", "lengths", "members", "tie_a", "tie_b"])
+
+    return table.groupBy("bucket").applyInPandas(run, "near int, lengths binary, members binary, tie_a binary, tie_b binary")
+
+
+def ties_of(given: DataFrame, facts: DataFrame, words: int, scheme: Scheme, buckets: int) -> DataFrame:
+    """a, b: ties between sets that share signatures."""
+    groups = materialize(sharers_of(signature_table(given, words, scheme, buckets), buckets), "sharers")
+
+    def plain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"a": _whole(frame["tie_a"], np.int64), "b": _whole(frame["tie_b"], np.int64)})
+
+    def members(frame: pd.DataFrame) -> pd.DataFrame:
+        ids = np.unique(_whole(frame["members"], np.int64))
+        return pd.DataFrame({"near": np.full(len(ids), frame["near"].iloc[0]), "id": ids})
+
+    def unruled(frame: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        sets = sets.drop_duplicates().sort_values("id", kind="stable")
+        twice = set(sets.loc[sets["id"].duplicated(), "id"])  # one id with several texts: nothing is ruled out
+        sets = sets.drop_duplicates("id")
+        known, sizes = sets["id"].to_numpy(np.int64), sets["size"].to_numpy(np.int64)
+        sketches = [np.full(16, 255, np.uint8) if i in twice else np.frombuffer(x, np.uint8) for i, x in zip(sets["id"], sets["sketch"], strict=True)]
+        # the sets that share a signature with one smallest id are looked at together, each pair once
+        families: dict[int, list[np.ndarray]] = {}
+        for lengths, ids in zip(frame["lengths"], frame["members"], strict=True):
+            ends = np.cumsum(np.frombuffer(lengths, np.int32))
+            ids = np.frombuffer(ids, np.int64)
+            for a, b in zip(np.concatenate(([0], ends)), ends, strict=False):
+                families.setdefault(int(ids[a]), []).append(ids[a:b])
+        out = []
+        for found in families.values():
+            own = np.unique(np.concatenate(found))
+            at = np.searchsorted(known, own)
+            label = unruled_classes([sketches[k] for k in at], sizes[at], scheme)
+            out.append(np.stack((own, own[label]))[:, own != own[label]])
+        pairs = np.unique(np.concatenate(out, 1), axis=1) if out else np.zeros((2, 0), np.int64)
+        return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
+
+    packed = groups.filter("near >= 0").select("near", "lengths", "members")
+    wanted = packed.select("near", "members").groupBy("near").applyInPandas(members, "near int, id bigint")
+    sets = wanted.join(facts.select("id", F.col("n").alias("size"), "sketch"), "id")
+    close = packed.groupBy("near").cogroup(sets.groupBy("near")).applyInPandas(unruled, "a bigint, b bigint")
+    return close.unionByName(groups.filter("near < 0").mapInPandas(plain, "a bigint, b bigint"))
 
 
 def join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles and component_id, the smallest id reachable by links (the id itself if none)."""
-    from pyspark.sql import Window
-
     bounded_batches(docs.sparkSession)
     scheme = Scheme(num, den)
-    table = materialize(sets_table(docs, words, scheme, id_col, text_col), "shingle-sets")
-    facts = table.select("id", "n", "f1", "f2")
-    filled = facts.filter("n > 0 and id is not null")
-    leaders = filled.groupBy("n", "f1", "f2").agg(F.min("id").alias("leader"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    facts = materialize(facts_table(texts, words), "shingle-sets")
+    leaders = facts.filter("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("leader"))
 
-    exploded = table.select("id", F.explode("sigs").alias("sig"))
-    matched = exploded.withColumn("low", F.min("id").over(Window.partitionBy("sig"))).filter("low < id").select(F.col("id").alias("a"), F.col("low").alias("b"))
-    ties = table.select(F.col("id").alias("a"), F.explode("ties").alias("b"))
-    groups = materialize(components(matched.unionByName(ties)), "groups").withColumnRenamed("component", "grp")
+    groups = materialize(components(ties_of(texts, facts, words, scheme, parts_for(text_bytes(texts), BUCKET_BYTES))), "groups").withColumnRenamed("component", "grp")
 
     # of equal sets, only the one with the smallest id goes on
     ones = leaders.join(groups, leaders["leader"] == groups["id"]).select("id", "n", "grp")
@@ -278,8 +519,8 @@ def join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
     pairs = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(
         F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("block")), lambda b: F.least(b, F.col("block")) * F.col("blocks") + F.greatest(b, F.col("block")))
     )
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    meetings = placed.join(texts, "id").select("id", "grp", "blocks", "text", F.explode(pairs).alias("pair"))
+    placed = materialize(placed.select("id", "grp", "blocks", "block"), "placed")
+    meetings = texts.join(few_ids(placed), "id").select("id", "grp", "blocks", "text", F.explode(pairs).alias("pair"))
 
     def link(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id", kind="stable")
@@ -294,6 +535,6 @@ def join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
     settled = links.filter("whole").select(F.col("a").alias("leader"), F.col("b").alias("component"))
     pieced = components(links.filter("not whole").select("a", "b")).select(F.col("id").alias("leader"), "component").filter("leader <> component")
     final = leaders.join(settled.unionByName(pieced), "leader", "left").select("n", "f1", "f2", F.coalesce("component", "leader").alias("component"))
-    out = facts.join(final, ["n", "f1", "f2"], "left")
+    out = facts.select("id", "n", "f1", "f2").join(final, ["n", "f1", "f2"], "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))

@@ -57,6 +57,28 @@ def test_like_brute_force(docs, words, num):
     assert got == brute(rows, words, num)
 
 
+@pytest.mark.parametrize(("name", "value"), [("MAX_IN_BATCH", 3), ("MAX_SHARERS", 4), ("BUCKET_BYTES", 500)])
+def test_limits_change_nothing(docs, monkeypatch, name, value):
+    monkeypatch.setattr(jaccard, name, value)
+    rows = corpus(17, 150)
+    assert sorted(map(tuple, jaccard.join(docs(rows), 3, 80, 100).collect())) == brute(rows, 3, 80)
+
+
+def test_sketches_rule_out_no_similar_pair():
+    rng = np.random.default_rng(9)
+    scheme = jaccard.Scheme(80, 100)
+    for _ in range(100):
+        n = int(rng.integers(5, 600))
+        core = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        sets = [core[rng.random(len(core)) > p] for p in (0, 0.05, 0.1, 0.3, 0.6)] + [np.unique(rng.integers(0, 2**63, n).astype(np.uint64))]
+        sets = [s for s in sets if len(s)]
+        label = jaccard.unruled_classes([jaccard.sketch(s) for s in sets], np.array([len(s) for s in sets]), scheme)
+        for i, j in combinations(range(len(sets)), 2):
+            if scheme.linked(np.array(len(np.intersect1d(sets[i], sets[j]))), np.array(len(sets[i])), np.array(len(sets[j]))):
+                assert label[i] == label[j]
+        assert n < 50 or label[0] != label[-1]
+
+
 def test_large_groups_are_dealt_into_blocks(docs, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_SETS", 20)
     rng = random.Random(8)
@@ -110,3 +132,9 @@ def test_components(spark):
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_one_id_with_two_texts(docs):
+    a, b = " ".join(f"w{k}" for k in range(50)), " ".join(f"v{k}" for k in range(50))
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard.join(docs([(2, a), (2, b), (1, a), (3, b)]), 3, 90, 100).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1)} or got == {(1, 1), (2, 1), (3, 2), (2, 2)}
