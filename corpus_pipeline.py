@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm import bpe, jaccard, mixing, pii, quality
-from kinweave.llm.common import materialize, read_table
+from kinweave.llm.common import few_ids, materialize, read_table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -28,8 +28,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each class of near duplicates (5-word shingles, Jaccard >= 0.8)."""
     found = jaccard.join(docs, words=5, num=80, den=100)
-    repeats = found.filter("component_id <> doc_id").select("doc_id")
-    return docs.select(*COLUMNS).join(repeats, "doc_id", "left_anti").select(*COLUMNS)
+    repeats = materialize(found.filter("component_id <> doc_id").select("doc_id"), "repeats")
+    return docs.select(*COLUMNS).join(few_ids(repeats), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
