@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, parts_for, text_bytes
 
-MIN_CHUNK, NORMAL_CHUNK, MAX_CHUNK = 16, 48, 256
-STRICT_BITS, LOOSE_BITS = 7, 4
+MIN_CHUNK, NORMAL_CHUNK, MAX_CHUNK = 8, 24, 128
+STRICT_BITS, LOOSE_BITS = 6, 3
 PART_BYTES = 16 << 20
 MAX_PARTS = 20_000
 
