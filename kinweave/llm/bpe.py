@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 
 #: Distinct pre-tokens encoded together, and kept before the index starts afresh.
-CHUNK_WORDS = 300_000
-CACHE_WORDS = 600_000
+CHUNK_WORDS = 150_000
+CACHE_WORDS = 250_000
 #: Longest stretch of a text that is pre-tokenized at once.
 PIECE_CHARS = 1 << 20
 
@@ -269,7 +269,7 @@ def _held(frames: Iterator[pd.DataFrame], limit: int) -> Iterator[pd.DataFrame]:
         yield pd.concat(held, ignore_index=True)
 
 
-def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_text: bool = False, digests: bool = False, carry: tuple[str, ...] = (), hold_chars: int = 6_000_000) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_text: bool = False, digests: bool = False, carry: tuple[str, ...] = (), hold_chars: int = 2_500_000) -> DataFrame:
     """Encode every whole text, then decode its ids again.
 
     Returns the id column, `carry`, n_tokens, and as asked: ids (array<int>), decoded (string), ids_sha256 and
