@@ -6,10 +6,12 @@ trained on their templates and on damaged copies of them, `unknown` on ordinary
 sample), on licence-like prose of no family, and on templates whose telling words are taken away. A temperature is
 fitted on held-out examples, so that probabilities are calibrated and unsure paragraphs fall to `unknown`. A proposed
 family is confirmed if enough of some template of it is found in the paragraph (containment of its word grams, the
-numbers of versions included).
+numbers of versions included), and if no other family has the same words more wholly.
 
-Nulls and empty texts have no paragraphs. Texts are read whole; very long paragraphs are read in windows that
-overlap. Repeated rows get the same answer; an empty table gives an empty result. Only the named columns are read.
+Nulls and empty texts have no paragraphs. Texts are read whole; long paragraphs are read in windows that overlap, long
+and short ones, as a sentence in the middle of a long window is too small a part of it to be told; families are trained
+inside short windows too. Repeated rows get the same answer; an empty table gives an empty result. Only the named
+columns are read.
 """
 
 from __future__ import annotations
@@ -29,7 +31,9 @@ DIM = 1 << 14
 FIT_DOCS = 400
 MIN_PROBABILITY = 0.5
 MIN_CONTAINMENT = 0.6
-WINDOW_WORDS, WINDOW_STEP = 200, 100
+#: Words and step of the windows. Those of 40 words overlap by 30, which holds every template (26 words at most), those
+#: of 14 by 7, which holds the short ones (SPDX lines are two words).
+WINDOWS = ((200, 100), (40, 10), (14, 7))
 
 # Telling phrases of well-known licences.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -128,20 +132,30 @@ def vector(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return idx, np.full(len(idx), 1 / np.sqrt(len(idx)), np.float32)
 
 
-def paragraphs(text: str | None) -> Iterator[tuple[int, list[str]]]:
-    """Number of the first line and the words of each paragraph, and of each line of paragraphs with several."""
+def _windows(words: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """Place and words of overlapping windows of each length; words that fit the longest are a window of their own."""
+    for k, (size, step) in enumerate(WINDOWS):
+        if k == 0 or size < len(words):
+            yield from ((a, words[a : a + size]) for a in range(0, max(1, len(words) - size + step), step))
+
+
+def paragraphs(text: str | None) -> Iterator[tuple[int, int, list[str]]]:
+    """Number of the first line, place of the first word in the text, and the words of each window of each paragraph, and
+    of each line of paragraphs with several."""
     block: list[str] = []
-    first = 0
+    first = lines = start = 0
     for k, line in enumerate([*(text or "").split("\n"), ""]):
         words = words_of(line)
         if words:
             first = first if block else k
+            yield from ((k, start + len(block) + a, w) for a, w in _windows(words))
             block += words
-            yield from ((k, words[a : a + WINDOW_WORDS]) for a in range(0, max(1, len(words) - WINDOW_STEP), WINDOW_STEP))
+            lines += 1
         else:
-            if block:
-                yield from ((first, block[a : a + WINDOW_WORDS]) for a in range(0, max(1, len(block) - WINDOW_STEP), WINDOW_STEP))
-            block = []
+            if lines > 1:
+                yield from ((first, start + a, w) for a, w in _windows(block))
+            start += len(block)
+            block, lines = [], 0
 
 
 _TEMPLATE_GRAMS = {family: [frozenset(grams(words_of(t))) for t in ts] for family, ts in TEMPLATES.items()}
@@ -157,6 +171,14 @@ def containment(words: list[str], family: str) -> float:
     return max(len(t & found) / len(t) for t in _TEMPLATE_GRAMS[family])
 
 
+def places(words: list[str], family: str) -> frozenset[int]:
+    """Places of the words that the longest grams of the family's best template cover."""
+    found = set(grams(words))
+    best = max(_TEMPLATE_GRAMS[family], key=lambda t: len(t & found) / len(t))
+    n = min(3, max(g.count(" ") for g in best) + 1)
+    return frozenset(i for a in range(len(words) - n + 1) if " ".join(words[a : a + n]) in best for i in range(a, a + n))
+
+
 class Classifier:
     """Multinomial logistic regression over hashed grams, with a temperature."""
 
@@ -186,6 +208,17 @@ def _damaged(words: list[str], filler: list[str], rng: np.random.Generator) -> l
     return [*pad(), *kept, *pad()]
 
 
+def _inside(words: list[str], size: int, ordinary: list[list[str]], rng: np.random.Generator) -> list[str]:
+    """The words somewhere in a window of running words of `ordinary`."""
+    spare = max(0, size - len(words))
+    around: list[str] = []
+    while ordinary and len(around) < spare:
+        around += ordinary[rng.integers(0, len(ordinary))]
+    at, cut = int(rng.integers(0, max(0, len(around) - spare) + 1)), int(rng.integers(0, spare + 1))
+    around = around[at : at + spare]
+    return [*around[:cut], *words, *around[cut:]]
+
+
 def train(ordinary: list[list[str]], copies: int = 12, rounds: int = 250, seed: int = 0) -> Classifier:
     """Fit on the templates and on `ordinary` paragraphs; every fifth example is held out for the temperature."""
     rng = np.random.default_rng(seed)
@@ -196,13 +229,16 @@ def train(ordinary: list[list[str]], copies: int = 12, rounds: int = 250, seed:
         for t in map(words_of, templates):
             examples.append((t, c))
             examples += [(_damaged(t, filler, rng), c) for _ in range(copies)]
+            examples += [(_inside(_damaged(t, [], rng), size, ordinary, rng), c) for size, _ in WINDOWS[1:] for _ in range(copies)]
     common = {w for ts in TEMPLATES.values() for t in ts for w in words_of(t)}
     telling = {w for w in common if sum(any(w in words_of(t) for t in ts) for ts in TEMPLATES.values()) == 1}
     for ts in TEMPLATES.values():
         for t in map(words_of, ts):
-            examples += [([w for w in t if w not in telling], len(classes) - 1)]
+            plain = [w for w in t if w not in telling]
+            examples += [(w, len(classes) - 1) for w in (plain, *(_inside(plain, size, ordinary, rng) for size, _ in WINDOWS[1:]))]
     for t in map(words_of, NEAR_MISSES):
         examples += [(_damaged(t, filler, rng), len(classes) - 1) for _ in range(copies)]
+        examples += [(_inside(_damaged(t, [], rng), size, ordinary, rng), len(classes) - 1) for size, _ in WINDOWS[1:] for _ in range(copies)]
     examples += [(p, len(classes) - 1) for p in ordinary]
     x = np.zeros((len(examples), DIM), np.float32)
     for row, (words, _) in zip(x, examples, strict=True):
@@ -240,7 +276,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
 
     def first_paragraphs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(i, " ".join(p)) for i, t in zip(frame["id"], frame["text"], strict=True) if isinstance(t, str) for p in _spread([w for _, w in paragraphs(t)])]
+            rows = [(i, " ".join(p)) for i, t in zip(frame["id"], frame["text"], strict=True) if isinstance(t, str) for p in _spread([w for _, _, w in paragraphs(t)])]
             yield pd.DataFrame(rows, columns=["id", "words"])
 
     rows = chosen.mapInPandas(first_paragraphs, "id string, words string").toPandas().sort_values(["id", "words"])
@@ -254,6 +290,12 @@ def _spread(found: list[list[str]], most: int = 4) -> list[list[str]]:
     return found[::step][:most]
 
 
+def _outdone(best: dict[tuple[int, str], tuple[float, float, frozenset[int]]], family: str, c: float, own: frozenset[int]) -> bool:
+    """Whether most of a finding's words belong to a template of another family that is found more wholly: a window that
+    ends inside a licence sentence may look like a related family."""
+    return any(f != family and more > c and 2 * len(own & theirs) > len(own) for (_, f), (more, _, theirs) in best.items())
+
+
 def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id and findings, an array of (line, family, probability, containment, confirmed) over all paragraphs
     that the classifier gives to a family. No shuffle."""
@@ -265,14 +307,14 @@ def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: s
         for frame in frames:
             found = []
             for text in frame["text"]:
-                best: dict[tuple[int, str], tuple[float, float]] = {}
-                for line, words in paragraphs(text if isinstance(text, str) else None):
+                best: dict[tuple[int, str], tuple[float, float, frozenset[int]]] = {}
+                for line, start, words in paragraphs(text if isinstance(text, str) else None):
                     if _CUES.isdisjoint(words):
                         continue
                     family, p, c = shared.value.judge(words)
-                    if family != UNKNOWN:
-                        best[line, family] = max(best.get((line, family), (0.0, 0.0)), (c, p))
-                found.append([{"line": at, "family": f, "probability": p, "containment": c, "confirmed": c >= MIN_CONTAINMENT} for (at, f), (c, p) in sorted(best.items())])
+                    if family != UNKNOWN and (c, p) > best.get((line, family), (-1.0, 0.0))[:2]:
+                        best[line, family] = c, p, frozenset(start + i for i in places(words, family)) if c >= MIN_CONTAINMENT else frozenset()
+                found.append([{"line": at, "family": f, "probability": p, "containment": c, "confirmed": c >= MIN_CONTAINMENT and not _outdone(best, f, c, own)} for (at, f), (c, p, own) in sorted(best.items())])
             yield pd.DataFrame({"id": frame["id"], "findings": found})
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -26,5 +26,26 @@ def test_probabilities_sum_to_one():
     assert abs(p.sum() - 1) < 1e-5 and model.classes[p.argmax()] == "MIT"
 
 
+def test_sentences_inside_long_lines(docs):
+    filler = [(i, f"an ordinary paragraph number {i} about towns and rivers\nwith another line of words {i * 7}") for i in range(60)]
+    words = "people walk along the river to a small town where many houses are old and children play with their dogs".split()
+    around = [words[(i * i + 3 * i) % len(words)] for i in range(200)]
+    longest = {f: max(ts, key=len) for f, ts in licenses.TEMPLATES.items()}
+    shortest = {f: min(ts, key=lambda t: len(licenses.words_of(t))) for f, ts in licenses.TEMPLATES.items()}
+    rows, expected = list(filler), {}
+    for k, (family, sentence) in enumerate([*longest.items(), *shortest.items()]):
+        at = 60 + 5 * k % 80
+        expected[100 + k] = family
+        rows.append((100 + k, " ".join([*around[:at], sentence, *around[at:]])))
+        wrapped = rows[-1][1].split(" ")
+        expected[200 + k] = family
+        rows.append((200 + k, "\n".join(" ".join(wrapped[a : a + 9]) for a in range(0, len(wrapped), 9))))
+    expected[300] = "Apache-2.0,MIT"
+    rows.append((300, " ".join([*around, *(t[0] for f, t in licenses.TEMPLATES.items() if f in ("Apache-2.0", "MIT")), *around])))
+    out = {r["doc_id"]: r["families"] for r in licenses.report(docs(rows)).collect()}
+    assert {i: out[i] for i in expected} == expected
+    assert not any(out[i] for i, _ in filler)
+
+
 def test_empty(docs):
     assert licenses.report(docs([])).count() == 0
