@@ -1,7 +1,8 @@
 """Personal data: patterns propose spans, checksums confirm them, context words adjust their score.
 
 Kinds and what confirms them: email (shape), ip (parts up to 255), card (12 to 19 digits, Luhn), phone (9 to 15
-digits), iban (country length table is not needed: mod-97 is 1 and 15 to 34 characters), ssn (number ranges in use,
+digits), iban (mod-97 is 1 and 15 to 34 characters; as words behind one may match too, it ends at its country's length if mod-97
+holds there, and for countries not in the table at the last space where it holds), ssn (number ranges in use,
 and a context word nearby). The first four are the base kinds: leftmost non-overlapping matches of their patterns,
 whose failing matches are dropped without another try. Context words change scores only, never the base spans.
 
@@ -50,6 +51,16 @@ CONTEXT_CHARS = 40
 #: Spans of the kinds beyond the base ones count from this score on.
 MIN_SCORE = 0.6
 
+# Lengths of IBANs by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24,
+    "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27,
+    "GT": 28, "HN": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20,
+    "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24,
+    "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25,
+    "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
+
 _CONTEXT_RE = {k: re.compile(r"\b(?:" + "|".join(map(re.escape, w)) + r")\b", re.I) for k, w in CONTEXT.items()}
 
 
@@ -117,9 +128,28 @@ def phones(text: str) -> Iterator[tuple[int, int]]:
 
 
 def ibans(text: str) -> Iterator[tuple[int, int]]:
-    for m in IBAN.finditer(text):
-        if mod97(m.group().replace(" ", "")):
-            yield m.span()
+    at = 0
+    while m := IBAN.search(text, at):
+        end = _iban_end(m.group())
+        if end:
+            yield m.start(), m.start() + end
+        # a failing match may hide an IBAN behind its first word
+        at = m.start() + (end or 4)
+
+
+def _iban_end(match: str) -> int:
+    """Where the IBAN that a match begins with ends; 0 if there is none."""
+    solid = [k + 1 for k, c in enumerate(match) if c != " "]
+    length = IBAN_LENGTHS.get(match[:2])
+    if length is None:
+        ends = [k for k in range(len(match), 0, -1) if k == len(match) or match[k] == " "]
+    else:
+        ends = [*solid[length - 1 : length], len(match)]
+    for end in ends:
+        iban = match[:end].replace(" ", "")
+        if len(iban) >= 15 and mod97(iban):
+            return end
+    return 0
 
 
 def ssns(text: str) -> Iterator[tuple[int, int]]:

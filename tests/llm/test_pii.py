@@ -48,6 +48,19 @@ def test_what_the_method_adds():
     assert near > far
 
 
+def test_ibans_before_other_capitals():
+    german = "DE89 3704 0044 0532 0130 00"
+    spans = lambda text: [text[s.start : s.end] for s in pii.scan(text) if s.kind == "iban"]
+    for behind in ("", " BIC COBADEFF", " EUR", " A note", " 12 EUR", "EUR", " Bank", ", BIC X"):
+        assert spans(f"pay {german}{behind}") == [german]
+    assert spans(f"{german} GB29 NWBK 6016 1331 9268 19 EUR") == [german, "GB29 NWBK 6016 1331 9268 19"]
+    assert spans(f"REF AB12 0000 {german} BIC COBADEFF") == [german]
+    check = next(f"{k:02}" for k in range(2, 99) if pii.mod97(f"ZZ{k:02}12345678901234"))
+    assert spans(f"ZZ{check} 1234 5678 9012 34 EUR") == [f"ZZ{check} 1234 5678 9012 34"]  # no length known
+    assert pii.redact(f"to {german} EUR", pii.scan(f"to {german} EUR")) == "to [IBAN] EUR"
+    assert spans("DE88 3704 0044 0532 0130 00 EUR") == []
+
+
 def test_long_runs_take_linear_time():
     for text in ("1" * 200_000, "1." * 100_000, "a" * 200_000 + "@", "+1" + " " * 200_000, "a@" * 50_000):
         pii.scan(text)
