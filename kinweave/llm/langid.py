@@ -5,7 +5,8 @@ Every language has several centroids (spherical k-means over its own training te
 the centroid with the largest cosine; it is rejected where that cosine is below what the centroid's own training
 texts reach (REJECT_QUANTILE of them, times REJECT_SLACK).
 
-Fitting uses a bounded sample: about SAMPLE_PER_LANG texts of each language, chosen by a hash of their id. Null
+Document frequencies count all texts that may be learnt from; the centroids are fitted to a bounded sample of them,
+about SAMPLE_PER_LANG texts of each language, chosen by a hash of their id. Null
 texts and texts without a letter are `und` with score 0 and take no part in fitting, nor do null languages. Texts
 are read whole, in pieces. Repeated rows get the same answer; an empty table, or one with nothing to learn from,
 gives `und` for every row. Only the named columns are read.
@@ -29,6 +30,8 @@ CENTROIDS = 4
 MAX_LANGS = 1000
 REJECT_QUANTILE = 0.01
 REJECT_SLACK = 0.7
+#: Vectors of document frequencies that are added at a time, and languages whose vectors a task holds.
+ADDED, HELD_LANGS = 64, 64
 PIECE = 1 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -102,6 +105,34 @@ class Model:
         return self.langs[best], float(min(1.0, max(0.0, cos[best]))), bool(cos[best] < self.least[best])
 
 
+def _frequencies(learn: DataFrame) -> list:
+    """Per language: lang, n (texts with a letter) and df (how many of them have each feature), over all rows."""
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, list] = {}
+        out = lambda: pd.DataFrame([(k, n, df) for k, (n, df) in held.items()], columns=["lang", "n", "df"])
+        for frame in frames:
+            for lang, text in zip(frame["lang"], frame["text"], strict=True):
+                idx, _ = gram_counts(text if isinstance(text, str) else None)
+                if not len(idx):
+                    continue
+                if lang not in held and len(held) == HELD_LANGS:
+                    yield out()
+                    held.clear()
+                own = held.setdefault(lang, [0, np.zeros(DIM, np.int64)])
+                own[0] += 1
+                own[1][idx] += 1
+        if held:
+            yield out()
+
+    def add(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"lang": [key[0]], "n": [frame["n"].sum()], "df": [np.sum(np.stack(frame["df"].to_list()), 0)]})
+
+    kind = "lang string, n bigint, df array<bigint>"
+    found = learn.select("lang", "text").mapInPandas(count, kind).withColumn("part", F.floor(F.spark_partition_id() / ADDED))
+    return found.groupBy("lang", "part").applyInPandas(add, kind).groupBy("lang").applyInPandas(add, kind).orderBy("lang").collect()
+
+
 def fit(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_PER_LANG, centroids: int = CENTROIDS) -> Model:
     """Learn from the rows where `usable` holds; the driver gets centroids only."""
     spark = docs.sparkSession
@@ -125,13 +156,7 @@ def fit(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id", t
     kind = learn.schema["id"].dataType.simpleString()
     grams = materialize(chosen.mapInPandas(features, f"id {kind}, lang string, idx array<int>, cnt array<int>"), "langid-sample")
 
-    def frequencies(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        df = np.zeros(DIM, np.int32)
-        for idx in frame["idx"]:
-            df[idx] += 1
-        return pd.DataFrame({"lang": [key[0]], "n": [len(frame)], "df": [df]})
-
-    stats = grams.groupBy("lang").applyInPandas(frequencies, "lang string, n bigint, df array<int>").collect()
+    stats = _frequencies(learn)
     if not stats:
         return Model(np.zeros(DIM), [], np.zeros((0, DIM), np.float32), np.zeros(0))
     # languages weigh alike in the idf, however many texts each has

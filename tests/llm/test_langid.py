@@ -1,3 +1,4 @@
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -20,6 +21,19 @@ def test_held_out_accuracy(docs):
     assert all(0 <= r["score"] <= 1 for r in out)
 
 
+def test_document_frequencies_count_every_text(docs, monkeypatch):
+    table = docs(corpus()).repartition(5)
+    whole = langid.fit(table)
+    assert (langid.fit(table, sample=10).idf == whole.idf).all()
+    monkeypatch.setattr(langid, "HELD_LANGS", 1)
+    monkeypatch.setattr(langid, "ADDED", 2)
+    assert (langid.fit(table, sample=10).idf == whole.idf).all()
+    texts = {lang: [set(langid.gram_counts(t)[0].tolist()) for _, t, own, _ in corpus() if own == lang] for lang in WORDS}
+    feature = int(langid.gram_counts("lorem")[0][0])
+    share = sum(sum(feature in x for x in own) / len(own) for own in texts.values()) / len(texts)
+    assert abs(whole.idf[feature] - math.log1p(1 / (share + 1e-3))) < 1e-9
+
+
 def test_corner_cases(docs):
     model = langid.fit(docs(corpus()))
     rows = [(1, None, None, None), (2, "", "xx", None), (3, "12 !!", "xx", ""), (4, "lorem ipsum " * 100_000, None, "s"), (5, "漢字仮名交じり文", "xx", "s")]
