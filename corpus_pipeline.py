@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before has kept; between two stages the rows
 are written as Parquet in the shared folder and read again. All but the last return the columns of `documents`.
 
-Nulls: a null or wordless text is rejected by the first stage; null languages and sources stay null. Rows repeated
-under one id are treated alike in every stage. Empty tables pass through. Extra columns are left behind.
+Nulls: a null or wordless text is rejected by the first stage; null languages and sources stay null. Of near-duplicate
+rows under one id, the second stage keeps one; rows whose id is null are not joined. Empty tables pass through. Extra columns are left behind.
 """
 
 from __future__ import annotations
@@ -29,7 +29,17 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each class of near duplicates (5-word shingles, Jaccard >= 0.8)."""
     found = jaccard.join(docs, words=5, num=80, den=100)
     repeats = materialize(found.filter("component_id <> doc_id").select("doc_id"), "repeats")
-    return docs.select(*COLUMNS).join(few_ids(repeats), "doc_id", "left_anti").select(*COLUMNS)
+    left = docs.select(*COLUMNS).join(few_ids(repeats), "doc_id", "left_anti").select(*COLUMNS)
+    shared = materialize(left.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "shared-ids")
+    if shared.isEmpty():
+        return left
+    # rows under one id are told apart by a hash of all they hold, and joined by themselves
+    row = F.xxhash64(*COLUMNS).alias("row")
+    own = materialize(left.join(few_ids(shared), "doc_id", "left_semi").select(row, *COLUMNS).dropDuplicates(["row"]), "shared-rows")
+    classes = jaccard.join(own, words=5, num=80, den=100, id_col="row").select("row", "component_id")
+    first = own.select("row", "doc_id").join(classes, "row").groupBy("doc_id", "component_id").agg(F.min("row").alias("row"))
+    kept = own.join(first.select("row"), "row", "left_semi").select(*COLUMNS)
+    return left.join(few_ids(shared), "doc_id", "left_anti").select(*COLUMNS).unionByName(kept)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +50,10 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of the mix, each as many times as it is taken."""
-    copies = mixing.mix(docs).filter("copies > 0").select(F.col("doc_id").alias("id"), "copies").distinct()
-    taken = docs.select(*COLUMNS).join(copies, F.col("doc_id").eqNullSafe(F.col("id")))
+    # rows of one id and source are taken alike, unless they have no word
+    copies = mixing.mix(docs).filter("copies > 0").select(F.col("doc_id").alias("id"), F.col("source").alias("of"), "copies").distinct()
+    worded = docs.select(*COLUMNS).filter(F.col("text").rlike(mixing.WORD))
+    taken = worded.join(copies, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("of")))
     return taken.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select(*COLUMNS)
 
 

@@ -59,6 +59,24 @@ def test_stages_like_their_operators(spark, folder):
         assert r["ids"] == encoder.encode_batch([text[r["doc_id"]]])[0].tolist() and encoder.decode(encoder.encode_batch([text[r["doc_id"]]])[0]) == text[r["doc_id"]]
 
 
+def test_rows_under_one_id(spark, docs):
+    rng = random.Random(7)
+    words = [f"{a}{b}" for a in "bcdfghklm" for b in ("an", "el", "ir", "os")]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    long, short = text(90), text(40)
+    rows = [(i, text(50), "en", f"s{i % 3}") for i in range(60)]
+    rows += [(100, long, "en", "s1")] * 3 + [(100, long + " more", "en", "s2"), (100, short, "en", "s1"), (200, long, "en", "s1")]
+    left = corpus_pipeline.dedup_stage(spark, docs(rows), "").collect()
+    assert sorted(r["doc_id"] for r in left) == [*range(60), 100, 100]
+    texts = {r["text"] for r in left if r["doc_id"] == 100}
+    assert short in texts and texts <= {short, long, long + " more"}
+    # every row is taken as often as the mix says, at most twice, also where ids are shared
+    many = docs([(i % 20, f"w{i} " * (1 + 7 * i % 50), "en", f"s{i % 6}") for i in range(240)] + [(3, " ", "en", "s3")])
+    mixed = [tuple(r) for r in corpus_pipeline.mix_stage(spark, many, "").collect()]
+    assert max(mixed.count(r) for r in mixed) <= 2 and not any(r[1] == " " for r in mixed)
+    assert len(mixed) == sum(r["copies"] for r in mixing.mix(many).collect())
+
+
 def test_run_and_empty_input(spark, folder, docs, tmp_path):
     assert corpus_pipeline.run(spark, folder[0]).count() > 0
     docs([]).write.parquet(str(tmp_path / "none" / "documents.parquet"))
