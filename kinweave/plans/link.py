@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -56,9 +57,11 @@ def features(cands: DataFrame, s1: DataFrame, others: list[DataFrame]) -> DataFr
 
 
 def train(s1: DataFrame, others: list[DataFrame], edges: DataFrame, universe: DataFrame, config: LinkConfig, estimator: Callable[[], Estimator] | None = None) -> Trained:
-    """Fit the fold models, the calibrator and the threshold."""
+    """Fit the fold models, the calibrator and the threshold. Warns if candidates have less recall than config.min_recall."""
     cands = candidates(s1, others, config).persist()
     recall = metrics.candidate_recall(edges, cands).first()["recall"]
+    if recall < config.min_recall:
+        warnings.warn(f"candidate recall {recall:.4f} is below {config.min_recall:.4f}", stacklevel=2)
     labelled = sampling.label_pairs(features(cands, s1, others), edges)
     labelled = sampling.subsample_negatives(labelled, config.neg_per_pos_cap, config.seed)
     make = estimator or (lambda: matcher.boosting(config.max_iter, config.step_size, config.max_depth, config.seed))

@@ -1,3 +1,5 @@
+import warnings
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,3 +234,20 @@ def test_command_line(spark, folder, tmp_path, capsys):
     assert cli.main(["validate", "--matching", good, "--test-dir", folder, "--check-ids"]) == 0
     bad = write_tsv(tmp_path / "b.tsv", tsv.HEADERS["matching"], [[i, ""] for i in ids[1:]])
     assert cli.main(["validate", "--matching", bad, "--test-dir", folder]) == 1
+
+
+def test_warns_of_low_recall(data, monkeypatch):
+    s1, s2, s3, edges, universe = data
+
+    class Stop(Exception):
+        pass
+
+    def stop(*_):
+        raise Stop
+
+    monkeypatch.setattr(sampling, "label_pairs", stop)
+    with pytest.warns(UserWarning, match="recall"), pytest.raises(Stop):
+        link.train(s1, [s2, s3], edges, universe, LinkConfig(min_recall=1.01))
+    with warnings.catch_warnings(), pytest.raises(Stop):
+        warnings.simplefilter("error", UserWarning)
+        link.train(s1, [s2, s3], edges, universe, LinkConfig(min_recall=0.0))
