@@ -50,10 +50,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of the mix, each as many times as it is taken."""
-    # rows of one id and source are taken alike, unless they have no word
-    copies = mixing.mix(docs).filter("copies > 0").select(F.col("doc_id").alias("id"), F.col("source").alias("of"), "copies").distinct()
-    worded = docs.select(*COLUMNS).filter(F.col("text").rlike(mixing.WORD))
-    taken = worded.join(copies, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("of")))
+    taken = mixing.mix(docs, carry=("text", "lang", "n_chars")).filter("copies > 0")
     return taken.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select(*COLUMNS)
 
 

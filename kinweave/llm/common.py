@@ -52,13 +52,18 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Ids that may be broadcast: 8 bytes each, so 32 MB. Beyond, joins shuffle both sides.
-BROADCAST_IDS = 2_000_000
+#: Bytes that a broadcast may hold, by its counted rows and their width in the hash table. Beyond, joins shuffle both sides.
+BROADCAST_BYTES = 64 << 20
+
+
+def small(table: DataFrame, row_bytes: int) -> DataFrame:
+    """A materialized table, marked for broadcast if its counted rows of `row_bytes` each are few enough, else as it is."""
+    return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
 
 
 def few_ids(ids: DataFrame) -> DataFrame:
-    """A materialized table of ids, marked for broadcast if its counted rows are few enough, else as it is."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    """The same for a table of a few numbers a row."""
+    return small(ids, 64)
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> int:
