@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize
 
-MAX_ROUNDS = 60
-
 
 def _ordered(edges: DataFrame) -> DataFrame:
     """Edges with a > b, each once; loops go."""
@@ -26,12 +24,11 @@ def _round(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id and component (its smallest id) of every id that has an edge. edges: a, b of one integer type, any order."""
+    """id and component (its smallest id) of every id that has an edge, as a materialized table. edges: a, b of one integer
+    type, any order. Stars meet in a number of rounds that grows with the logarithm of the ids; it ends when nothing moves."""
     now = materialize(_ordered(edges), "edges")
     state = _state(now)
-    for _ in range(MAX_ROUNDS):
-        if not state[0]:
-            break
+    while state[0]:
         after = materialize(_round(now), "edges")
         new = _state(after)
         discard(now)
@@ -39,10 +36,10 @@ def components(edges: DataFrame) -> DataFrame:
         if new == state:
             break
         state = new
-    else:
-        raise RuntimeError("components did not settle")
     found = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return found.unionByName(found.select(F.col("component").alias("id"), "component").distinct())
+    found = materialize(found.unionByName(found.select(F.col("component").alias("id"), "component").distinct()), "components")
+    discard(now)
+    return found
 
 
 def _state(edges: DataFrame) -> tuple:

@@ -16,8 +16,10 @@
    blocks, and every two blocks meet in one task.
 
 Nothing is dropped: there is no cap on groups, partners or sizes. Nulls and texts without words have no shingles and
-are linked with nothing. Repeated rows are in one class. Rows with a null id are linked with nothing. An empty table
-gives an empty result. Only the named columns are read.
+are linked with nothing. Repeated rows are in one class; rows of one id with unlike texts are each linked for
+themselves. Rows with a null id are linked with nothing. Very long texts are hashed in pieces; a task holds
+their hashed words and sets whole. Ties can't arise: links are exact. An empty table gives an empty result. Only the
+named columns are read.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, few_ids, materialize, parts_for, text_bytes
+from .common import bounded_batches, discard, few_ids, materialize, parts_for, text_bytes
 from .components import components
 
 #: A candidate group beyond these is dealt into blocks.
@@ -40,8 +42,11 @@ BLOCK_SHINGLES = 1_500_000
 
 #: Signatures with more sets, or so many in one batch of rows, tie all of them.
 MAX_SHARERS, MAX_IN_BATCH = 16_384, 48
-#: Sketches of so many sets are compared at once.
-MATRIX_SETS = 128
+#: Bytes of sketches that are compared at once, and of a text that is hashed at once.
+COMPARED_BYTES, PIECE_BYTES = 8 << 20, 1 << 20
+#: Rows of one class beyond which it is looked up by broadcast; a class of a smaller share than one in HOT_CLASSES isn't, so
+#: that these number HOT_CLASSES at most.
+HOT_ROWS, HOT_CLASSES = 1_000, 100_000
 #: Bytes of text whose signatures one task brings together.
 BUCKET_BYTES = 8 << 20
 
@@ -77,8 +82,22 @@ def _powers(n: int) -> np.ndarray:
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of the words between ASCII white space, A-Z as a-z."""
+    """64-bit hashes of the words between ASCII white space, A-Z as a-z; in pieces, so that only the hashes follow the text."""
     data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    out, at = [], 0
+    while at < len(data):
+        end = at + PIECE_BYTES
+        while end < len(data):  # a piece ends before white space
+            gap = np.flatnonzero(_IS_SPACE[data[end : end + PIECE_BYTES]])
+            end += int(gap[0]) if len(gap) else PIECE_BYTES
+            if len(gap):
+                break
+        out.append(_hashed(data[at:end]))
+        at = end
+    return out[0] if len(out) == 1 else np.concatenate([np.zeros(0, _U), *out])
+
+
+def _hashed(data: np.ndarray) -> np.ndarray:
     inside = ~_IS_SPACE[data]
     if not inside.any():
         return np.zeros(0, _U)
@@ -98,10 +117,13 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     if not n:
         return w
     span = min(n, words)
-    total = np.zeros(n - span + 1, _U)
-    for k in range(span):
-        total += mix(w[k : n - span + 1 + k], 11 + k)
-    return np.unique(mix(total + _U(span), 3))
+    out = []
+    for at in range(0, n - span + 1, PIECE_BYTES):
+        total = np.zeros(min(PIECE_BYTES, n - span + 1 - at), _U)
+        for k in range(span):
+            total += mix(w[at + k : at + k + len(total)], 11 + k)
+        out.append(np.unique(mix(total + _U(span), 3)))
+    return out[0] if len(out) == 1 else np.unique(np.concatenate(out))
 
 
 class Scheme:
@@ -241,57 +263,29 @@ def sketch(elements: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((mix(elements, 51) >> _U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
 
 
-class Sketches:
-    """Sketches of some sets at every level that they have: a coarser level adds neighbouring buckets up."""
-
-    def __init__(self, sketches: list[np.ndarray], size: np.ndarray) -> None:
-        self.size = size
-        self.bits = np.array([len(x).bit_length() - 1 for x in sketches])
-        self.full = np.array([bool((x == 255).any()) for x in sketches])  # such a bucket no longer counts
-        self.at: dict[int, np.ndarray] = {}
-        for bits in np.unique(self.bits).tolist():
-            rows = np.zeros((len(sketches), 1 << bits), np.uint8)
-            for k in np.flatnonzero(self.bits >= bits):
-                rows[k] = np.minimum(sketches[k].reshape(1 << bits, -1).sum(1, dtype=np.int64), 255)
-            self.at[bits] = rows
-
-    def unruled(self, i: int, others: np.ndarray, scheme: Scheme) -> np.ndarray:
-        """Those of the others that may be similar to set i: their differences are few enough."""
-        level = np.minimum(self.bits[others], self.bits[i])
-        keep = self.full[others] | self.full[i]
-        for bits in np.unique(level).tolist():
-            own = np.flatnonzero(level == bits)
-            rows, one = self.at[bits][others[own]], self.at[bits][i]
-            differ = (np.maximum(rows, one) - np.minimum(rows, one)).sum(1, dtype=np.int32)
-            keep[own] |= differ * (scheme.den + scheme.num) <= (self.size[others[own]] + self.size[i]) * (scheme.den - scheme.num)
-        return others[keep]
-
-
-    def classes(self, scheme: Scheme) -> np.ndarray:
-        """The classes of all sets, from a matrix of all pairs: for few sets, that is the quicker way."""
-        n = len(self.size)
-        level = np.minimum(self.bits[:, None], self.bits)
-        linked = self.full[:, None] | self.full
-        bound = (self.size[:, None] + self.size) * (scheme.den - scheme.num) // (scheme.den + scheme.num)
-        for bits, rows in self.at.items():
-            differ = (np.maximum(rows[:, None], rows) - np.minimum(rows[:, None], rows)).sum(2, dtype=np.int32)
-            linked |= (level == bits) & (differ <= bound)
-        np.fill_diagonal(linked, True)
-        label = np.arange(n)
-        while True:
-            new = np.where(linked, label, n).min(1)
-            new = new[new]
-            if (new == label).all():
-                return label
-            label = new
+def _differences(sketches: list[np.ndarray], one: np.ndarray) -> np.ndarray:
+    """The sum of differences between each sketch and one: a longer one of a pair adds neighbouring buckets up."""
+    out = np.empty(len(sketches), np.int64)
+    length = np.array([len(x) for x in sketches])
+    for n in np.unique(length).tolist():
+        same = np.flatnonzero(length == n)
+        fold = min(n, len(one))
+        target = one.reshape(fold, -1).sum(1, dtype=np.int32)
+        width = max(1, COMPARED_BYTES // (4 * n))
+        for at in range(0, len(same), width):
+            rows = np.stack([sketches[k] for k in same[at : at + width]])
+            out[same[at : at + width]] = np.abs(rows.reshape(len(rows), fold, -1).sum(2, dtype=np.int32) - target).sum(1)
+    return out
 
 
 def unruled_classes(sketches: list[np.ndarray], size: np.ndarray, scheme: Scheme) -> np.ndarray:
-    """For each set, the first set of its class: sets joined by pairs that neither sizes nor sketches rule out."""
+    """For each set, the first set of its class: sets joined by pairs that neither sizes nor sketches rule out.
+
+    Each set is compared with those not yet reached whose size may do, COMPARED_BYTES at a time. A full bucket no longer
+    counts; sets that have one are ruled out by size alone.
+    """
     n = len(size)
-    table = Sketches(sketches, size)
-    if n <= MATRIX_SETS:
-        return table.classes(scheme)
+    full = np.array([bool((x == 255).any()) for x in sketches])
     by_size = np.argsort(size, kind="stable")
     ordered = size[by_size]
     label = np.full(n, -1)
@@ -304,57 +298,15 @@ def unruled_classes(sketches: list[np.ndarray], size: np.ndarray, scheme: Scheme
             i = queue.pop()
             near = by_size[np.searchsorted(ordered, -(-size[i] * scheme.num // scheme.den)) : np.searchsorted(ordered, size[i] * scheme.den // scheme.num, side="right")]
             near = near[label[near] < 0]
-            if len(near):
-                hit = table.unruled(i, near, scheme)
-                label[hit] = root
-                queue += hit.tolist()
-    return label
-
-
-def _frame_sets(frame: pd.DataFrame, words: int) -> list[np.ndarray]:
-    return [shingles(t if isinstance(t, str) else None, words) for t in frame["text"]]
-
-
-def sketch(elements: np.ndarray) -> np.ndarray:
-    """Counts of the elements in buckets, a power of two of them, a quarter to a half as many as elements; each at most 255."""
-    bits = min(14, max(4, (len(elements) // 4).bit_length()))
-    return np.minimum(np.bincount((mix(elements, 51) >> _U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
-
-
-def folded(sketches: list[np.ndarray]) -> np.ndarray:
-    """Sketches as rows of one length: longer ones add neighbouring buckets up."""
-    n = min(map(len, sketches))
-    return np.stack([x.reshape(n, -1).sum(1, dtype=np.int32) for x in sketches])
-
-
-def unruled_classes(sketches: list[np.ndarray], size: np.ndarray, scheme: Scheme) -> np.ndarray:
-    """For each set, the first set of its class: sets joined by pairs that sketches don't rule out."""
-    n = len(size)
-    if any((x == 255).any() for x in sketches):  # a full bucket no longer counts
-        return np.zeros(n, np.int64)
-    rows = folded(sketches)
-    label = np.full(n, -1)
-    for root in range(n):
-        if label[root] >= 0:
-            continue
-        label[root] = root
-        queue = [root]
-        while queue:
-            left = np.flatnonzero(label < 0)
-            if not len(left):
-                break
-            i = queue.pop()
-            differ = np.abs(rows[left] - rows[i]).sum(1)
-            hit = left[differ * (scheme.den + scheme.num) <= (size[left] + size[i]) * (scheme.den - scheme.num)]
+            if not len(near):
+                continue
+            differ = _differences([sketches[k] for k in near], sketches[i])
+            hit = near[full[i] | full[near] | (differ * (scheme.den + scheme.num) <= (size[near] + size[i]) * (scheme.den - scheme.num))]
             label[hit] = root
             queue += hit.tolist()
     return label
 
 
-def _frame_sets(frame: pd.DataFrame, words: int) -> list[np.ndarray]:
-    return [shingles(t if isinstance(t, str) else None, words) for t in frame["text"]]
-
-
 def facts_table(given: DataFrame, words: int) -> DataFrame:
     """id, n (shingles), f1 and f2 (fingerprint of the set) and its sketch. given: id, text."""
 
@@ -459,9 +411,8 @@ def sharers_of(table: DataFrame, buckets: int) -> DataFrame:
     return table.groupBy("bucket").applyInPandas(run, "near int, lengths binary, members binary, tie_a binary, tie_b binary")
 
 
-def ties_of(given: DataFrame, facts: DataFrame, words: int, scheme: Scheme, buckets: int) -> DataFrame:
-    """a, b: ties between sets that share signatures."""
-    groups = materialize(sharers_of(signature_table(given, words, scheme, buckets), buckets), "sharers")
+def ties_of(groups: DataFrame, facts: DataFrame, scheme: Scheme) -> DataFrame:
+    """a, b: ties between sets that share signatures. groups: those of sharers_of."""
 
     def plain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -506,12 +457,15 @@ def join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
     scheme = Scheme(num, den)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     facts = materialize(facts_table(texts, words), "shingle-sets")
-    leaders = facts.filter("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("leader"))
+    leaders = facts.filter("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("leader"), F.count("*").alias("rows"))
 
-    groups = materialize(components(ties_of(texts, facts, words, scheme, parts_for(text_bytes(texts), BUCKET_BYTES))), "groups").withColumnRenamed("component", "grp")
+    buckets = parts_for(text_bytes(texts), BUCKET_BYTES)
+    sharers = materialize(sharers_of(signature_table(texts, words, scheme, buckets), buckets), "sharers")
+    groups = components(ties_of(sharers, facts, scheme))
+    discard(sharers)
 
     # of equal sets, only the one with the smallest id goes on
-    ones = leaders.join(groups, leaders["leader"] == groups["id"]).select("id", "n", "grp")
+    ones = leaders.join(groups.withColumnRenamed("component", "grp"), F.col("leader") == F.col("id")).select("id", "n", "grp")
     totals = ones.groupBy("grp").agg(F.count("*").alias("members"), F.sum("n").alias("load"))
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK_SETS), F.ceil(F.col("load") / BLOCK_SHINGLES)).cast("int")
     several = totals.filter("members > 1").select("grp", blocks.alias("blocks"))
@@ -520,6 +474,7 @@ def join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
         F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("block")), lambda b: F.least(b, F.col("block")) * F.col("blocks") + F.greatest(b, F.col("block")))
     )
     placed = materialize(placed.select("id", "grp", "blocks", "block"), "placed")
+    discard(groups)
     meetings = texts.join(few_ids(placed), "id").select("id", "grp", "blocks", "text", F.explode(pairs).alias("pair"))
 
     def link(frame: pd.DataFrame) -> pd.DataFrame:
@@ -531,10 +486,23 @@ def join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
         return pd.DataFrame({"a": ids[hit], "b": ids[label][hit], "whole": (frame["blocks"] == 1).to_numpy()[hit]})
 
     links = materialize(meetings.groupBy("grp", "pair").applyInPandas(link, "a bigint, b bigint, whole boolean"), "links")
+    discard(placed)
     # groups of one block are settled; what the blocks of larger ones have found is put together
-    settled = links.filter("whole").select(F.col("a").alias("leader"), F.col("b").alias("component"))
-    pieced = components(links.filter("not whole").select("a", "b")).select(F.col("id").alias("leader"), "component").filter("leader <> component")
-    final = leaders.join(settled.unionByName(pieced), "leader", "left").select("n", "f1", "f2", F.coalesce("component", "leader").alias("component"))
-    out = facts.select("id", "n", "f1", "f2").join(final, ["n", "f1", "f2"], "left")
-    component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    pieced = components(links.filter("not whole").select("a", "b"))
+    found = links.filter("whole").select(F.col("a").alias("leader"), F.col("b").alias("component"))
+    found = found.unionByName(pieced.filter("id <> component").select(F.col("id").alias("leader"), "component"))
+    # only classes of several rows, or linked to a smaller one, have a component that isn't the row's own id
+    final = leaders.join(found, "leader", "left").filter("rows > 1 or component is not null")
+    final = materialize(final.select("n", "f1", "f2", "rows", F.coalesce("component", "leader").alias("component")), "classes")
+    discard(links)
+    discard(pieced)
+    row = facts.select("id", "n", "f1", "f2")
+    open_ = (F.col("n") > 0) & F.col("id").isNotNull()
+    key = ["n", "f1", "f2"]
+    # classes of very many rows are no key of a shuffle
+    hot = final.filter(F.col("rows") > max(HOT_ROWS, facts.count() // HOT_CLASSES)).drop("rows")
+    out = row.filter(~open_).withColumn("component", F.col("id"))
+    out = out.unionByName(row.filter(open_).join(F.broadcast(hot), key).select("id", *key, "component"))
+    others = row.filter(open_).join(F.broadcast(hot.select(*key)), key, "left_anti").join(final.drop("rows"), key, "left")
+    out = out.unionByName(others.select("id", *key, F.coalesce("component", "id").alias("component")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))

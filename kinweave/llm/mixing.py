@@ -179,6 +179,7 @@ def _flows(patterns: DataFrame, wanted: DataFrame, repeats: int) -> DataFrame:
     held = F.sort_array(F.collect_list(F.struct("rank", "target", "size", "source"))).alias("held")
     whole = materialize(member.groupBy("pattern").agg(F.first("sources").alias("sources"), F.first("capacity").alias("capacity"), held), "mix-members")
     first = F.col("held")[0]["rank"]
+    found = None
     edges = whole.select(first.alias("a"), F.explode("held.rank").alias("b")).filter("a <> b").distinct()
     if edges.isEmpty():
         sets = whole.select("pattern", "capacity", "held", first.alias("component"))
@@ -199,7 +200,9 @@ def _flows(patterns: DataFrame, wanted: DataFrame, repeats: int) -> DataFrame:
     one = F.col("held")[0]
     table = whole.join(flows, "pattern").select("pattern", "sources", "capacity", "flow", one["source"].alias("source"), one["size"].alias("source_size"), one["target"].alias("target"))
     table = materialize(table, "mix-flows")
-    discard(whole)
+    for old in (whole, found):
+        if old is not None:
+            discard(old)
     return table
 
 

@@ -138,3 +138,30 @@ def test_one_id_with_two_texts(docs):
     a, b = " ".join(f"w{k}" for k in range(50)), " ".join(f"v{k}" for k in range(50))
     got = {(r["doc_id"], r["component_id"]) for r in jaccard.join(docs([(2, a), (2, b), (1, a), (3, b)]), 3, 90, 100).collect()}
     assert got == {(1, 1), (2, 1), (3, 1)} or got == {(1, 1), (2, 1), (3, 2), (2, 2)}
+
+
+def test_hot_classes(docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT_ROWS", 5)
+    rows = corpus(23, 200) + [(20000 + i, "one text that very many rows share between them") for i in range(60)] + [(30000 + i, None) for i in range(30)]
+    assert sorted(map(tuple, jaccard.join(docs(rows), 3, 90, 100).collect())) == brute(rows, 3, 90)
+
+
+def test_long_texts_in_pieces(docs, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{rng.randrange(900)}" * rng.choice([1, 1, 40]) for _ in range(700))) for i in range(6)]
+    rows += [(10 + i, t.replace(" ", "\n\n") + " end") for i, t in rows] + [(30, "x" * 5000), (31, "X" * 5000 + " ")]
+    whole = [jaccard.shingles(t, 3) for _, t in rows]
+    monkeypatch.setattr(jaccard, "PIECE_BYTES", 64)
+    assert all((a == jaccard.shingles(t, 3)).all() for a, (_, t) in zip(whole, rows, strict=True))
+    monkeypatch.setattr(jaccard, "COMPARED_BYTES", 100)
+    assert sorted(map(tuple, jaccard.join(docs(rows), 3, 90, 100).collect())) == brute(rows, 3, 90)
+
+
+def test_nothing_is_left_behind(docs, spark):
+    import os
+
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/kinweave"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    jaccard.join(docs(corpus(5, 80)), 3, 90, 100).collect()
+    left = {x.rpartition("-")[0] for x in set(os.listdir(folder)) - before}
+    assert left == {"shingle-sets", "classes"}
