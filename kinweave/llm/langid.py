@@ -6,10 +6,12 @@ the centroid with the largest cosine; it is rejected where that cosine is below
 texts reach (REJECT_QUANTILE of them, times REJECT_SLACK).
 
 Document frequencies count all texts that may be learnt from; the centroids are fitted to a bounded sample of them,
-about SAMPLE_PER_LANG texts of each language, chosen by a hash of their id. Null
-texts and texts without a letter are `und` with score 0 and take no part in fitting, nor do null languages. Texts
-are read whole, in pieces. Repeated rows get the same answer; an empty table, or one with nothing to learn from,
-gives `und` for every row. Only the named columns are read.
+about SAMPLE_PER_LANG rows of each language, chosen by a hash of id and text (equal rows count once). There may be any
+number of languages: beyond PART_LANGS they make several models, each of which sees all texts, and the best answer wins.
+
+Null texts and texts without a letter are `und` with score 0 and take no part in fitting, nor do null languages. Texts
+are read whole, in pieces. Of equal cosines, the first language by code point wins. Repeated rows get the same answer; an
+empty table, or one with nothing to learn from, gives `und` for every row. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -19,15 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, materialize
+from .common import bounded_batches, discard, materialize, small
 
 DIM = 1 << 14
 SAMPLE_PER_LANG = 600
 CENTROIDS = 4
-MAX_LANGS = 1000
+#: Languages of one model, which a worker holds whole: about 130 MB.
+PART_LANGS = 500
 REJECT_QUANTILE = 0.01
 REJECT_SLACK = 0.7
 #: Vectors of document frequencies that are added at a time, and languages whose vectors a task holds.
@@ -89,7 +92,7 @@ def _kmeans(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 class Model:
-    """idf, and centroids with their language and the cosine below which a text is rejected."""
+    """idf, and centroids with their language and the cosine below which a text is rejected, for some of the languages."""
 
     def __init__(self, idf: np.ndarray, langs: list[str], centroids: np.ndarray, least: np.ndarray) -> None:
         self.idf, self.langs, self.least = idf, langs, least
@@ -105,8 +108,22 @@ class Model:
         return self.langs[best], float(min(1.0, max(0.0, cos[best]))), bool(cos[best] < self.least[best])
 
 
-def _frequencies(learn: DataFrame) -> list:
-    """Per language: lang, n (texts with a letter) and df (how many of them have each feature), over all rows."""
+class Models:
+    """The models of all languages, one for each PART_LANGS of them; the driver loads one at a time."""
+
+    def __init__(self, idf: np.ndarray, table: DataFrame | None, parts: int) -> None:
+        self.idf, self.table, self.parts = idf, table, parts
+
+    def part(self, k: int) -> Model:
+        """The k-th model; without languages, one that knows none."""
+        if self.table is None:
+            return Model(self.idf, [], np.zeros((0, DIM), np.float32), np.zeros(0))
+        rows = sorted(self.table.filter(F.col("part") == k).collect(), key=lambda r: (r["lang"].encode("utf-8", "surrogatepass"), r["centroid"]))
+        return Model(self.idf, [r["lang"] for r in rows], np.array([r["centroid"] for r in rows], np.float32).reshape(len(rows), DIM), np.array([r["least"] for r in rows]))
+
+
+def _shares(learn: DataFrame) -> tuple[np.ndarray, int]:
+    """Mean over the languages of the share of their texts that have each feature, over all rows; and the languages."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, list] = {}
@@ -128,43 +145,49 @@ def _frequencies(learn: DataFrame) -> list:
     def add(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"lang": [key[0]], "n": [frame["n"].sum()], "df": [np.sum(np.stack(frame["df"].to_list()), 0)]})
 
+    def share(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n = np.zeros(DIM), 0
+        for frame in frames:
+            for k, df in sorted(zip(frame["n"], frame["df"], strict=True), key=lambda x: (x[0], x[1].tobytes())):
+                total += df / k
+                n += 1
+        yield pd.DataFrame({"n": [n], "share": [total]})
+
     kind = "lang string, n bigint, df array<bigint>"
     found = learn.select("lang", "text").mapInPandas(count, kind).withColumn("part", F.floor(F.spark_partition_id() / ADDED))
-    return found.groupBy("lang", "part").applyInPandas(add, kind).groupBy("lang").applyInPandas(add, kind).orderBy("lang").collect()
+    by_lang = found.groupBy("lang", "part").applyInPandas(add, kind).groupBy("lang").applyInPandas(add, kind)
+    rows = by_lang.mapInPandas(share, "n bigint, share array<double>").collect()  # a vector for each partition
+    n = sum(r["n"] for r in rows)
+    return (np.sort([r["share"] for r in rows], 0).sum(0) / n if n else np.zeros(DIM)), n
 
 
-def fit(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_PER_LANG, centroids: int = CENTROIDS) -> Model:
+def fit(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_PER_LANG, centroids: int = CENTROIDS) -> Models:
     """Learn from the rows where `usable` holds; the driver gets centroids only."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    learn = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), (F.lit(True) if usable is None else usable).alias("use")).filter("use and lang is not null")
-    counts = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().limit(MAX_LANGS + 1).collect()}
-    if len(counts) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    if not counts:
-        return Model(np.zeros(DIM), [], np.zeros((0, DIM), np.float32), np.zeros(0))
-    rates = spark.createDataFrame([(k, min(1.0, sample / n)) for k, n in sorted(counts.items())], "lang string, rate double")
-    place = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("langid")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = learn.join(F.broadcast(rates), "lang").filter(place < F.col("rate")).select("id", "lang", "text")
+    text = F.col(text_col).cast("string")
+    place = F.xxhash64(F.col(id_col).cast("string"), text, F.lit("langid"))
+    learn = docs.select(place.alias("place"), text.alias("text"), F.col(lang_col).cast("string").alias("lang"), (F.lit(True) if usable is None else usable).alias("use")).filter("use and lang is not null")
+    mean, n_langs = _shares(learn)
+    if not n_langs:
+        return Models(np.zeros(DIM), None, 1)
+    # languages weigh alike in the idf, however many texts each has
+    idf = np.log1p(1.0 / (mean + 1e-3))
+    rates = materialize(learn.groupBy("lang").count().select("lang", F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count")).alias("rate")), "langid-rates")
+    share = F.shiftrightunsigned("place", 34) / F.lit(float(1 << 30))
+    some = learn.join(small(rates, 200), "lang").filter(share < F.col("rate")).groupBy("lang", "place").agg(F.first("text").alias("text"))
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found = [gram_counts(t if isinstance(t, str) else None) for t in frame["text"]]
-            out = frame[["id", "lang"]].assign(idx=[x[0] for x in found], cnt=[x[1] for x in found])
+            out = frame[["place", "lang"]].assign(idx=[x[0] for x in found], cnt=[x[1] for x in found])
             yield out[out["idx"].str.len() > 0]
 
-    kind = learn.schema["id"].dataType.simpleString()
-    grams = materialize(chosen.mapInPandas(features, f"id {kind}, lang string, idx array<int>, cnt array<int>"), "langid-sample")
-
-    stats = _frequencies(learn)
-    if not stats:
-        return Model(np.zeros(DIM), [], np.zeros((0, DIM), np.float32), np.zeros(0))
-    # languages weigh alike in the idf, however many texts each has
-    share = np.mean([np.array(r["df"]) / r["n"] for r in stats], 0)
-    idf = np.log1p(1.0 / (share + 1e-3))
+    first = Window.partitionBy("lang").orderBy(F.shiftrightunsigned("place", 34), "place")
+    grams = some.mapInPandas(features, "place bigint, lang string, idx array<int>, cnt array<int>").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample + sample // 4)
 
     def clusters(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id")
+        frame = frame.sort_values("place")
         vectors = np.zeros((len(frame), DIM), np.float32)
         for row, idx, cnt in zip(vectors, frame["idx"], frame["cnt"], strict=True):
             row[idx] = _weights(np.asarray(idx), np.asarray(cnt), idf)
@@ -174,22 +197,35 @@ def fit(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id", t
         least = [float(np.quantile(cos[own == j, j], REJECT_QUANTILE)) * REJECT_SLACK if (own == j).any() else 0.0 for j in range(len(centres))]
         return pd.DataFrame({"lang": key[0], "centroid": list(centres), "least": least})
 
-    rows = sorted(grams.groupBy("lang").applyInPandas(clusters, "lang string, centroid array<float>, least double").collect(), key=lambda r: (r["lang"], r["centroid"]))
-    discard(grams)
-    return Model(idf, [r["lang"] for r in rows], np.array([r["centroid"] for r in rows], np.float32), np.array([r["least"] for r in rows]))
+    parts = -(-n_langs // PART_LANGS)
+    table = grams.select("lang", "place", "idx", "cnt").groupBy("lang").applyInPandas(clusters, "lang string, centroid array<float>, least double")
+    table = materialize(table.withColumn("part", F.pmod(F.xxhash64("lang"), F.lit(parts)).cast("int")), "langid-centroids")
+    discard(rates)
+    return Models(idf, table, parts)
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", reject: bool = True) -> DataFrame:
+def predict(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text", reject: bool = True) -> DataFrame:
     """id, lang_pred, score and rejected. With `reject`, a rejected text's lang_pred is `und`. No shuffle."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # size is bounded by MAX_LANGS * CENTROIDS * DIM
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [shared.value.predict(t if isinstance(t, str) else None) for t in frame["text"]]
-            yield pd.DataFrame({"id": frame["id"], "lang_pred": ["und" if reject and x[2] else x[0] for x in found], "score": [x[1] for x in found], "rejected": [x[2] for x in found]})
-
     kind = docs.schema[id_col].dataType.simpleString()
-    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return given.mapInPandas(run, f"id {kind}, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_col)
+    answer = "lang_pred string, score double, rejected boolean"
+    now = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
+    for k in range(models.parts):
+        shared = spark.sparkContext.broadcast(models.part(k))  # PART_LANGS * CENTROIDS * DIM at most
+        last = k == models.parts - 1
+
+        def run(frames: Iterator[pd.DataFrame], shared=shared, last: bool = last) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                found = []
+                for text, *best in zip(frame["text"], frame["lang_pred"], frame["score"], frame["rejected"], strict=True):
+                    own = shared.value.predict(text if isinstance(text, str) else None)
+                    # the better cosine; of equal ones the first language
+                    found.append(own if own[0] != "und" and (best[0] == "und" or (-own[1], own[0].encode("utf-8", "surrogatepass")) < (-best[1], best[0].encode("utf-8", "surrogatepass"))) else best)
+                out = pd.DataFrame({"id": frame["id"], "lang_pred": ["und" if last and reject and x[2] else x[0] for x in found], "score": [x[1] for x in found], "rejected": [x[2] for x in found]})
+                yield out if last else out.assign(text=frame["text"])
+
+        now = now.mapInPandas(run, f"id {kind}, {answer}" + ("" if last else ", text string"))
+        if not last:  # one model at a time
+            now = materialize(now, "langid-answers")
+    return now.withColumnRenamed("id", id_col)
