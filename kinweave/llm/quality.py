@@ -4,12 +4,13 @@
 2. Expectation-maximisation over the counts of all vote patterns estimates each labeller's accuracy on good and on
    bad texts and the share of good texts. The driver holds the distinct patterns only (3 to the power of LABELLERS
    at most), which cover all documents.
-3. Posterior labels of a bounded sample (FIT_ROWS texts, chosen by a hash of their id) train a linear scorer over
-   hashed features, by logistic regression.
+3. Posterior labels of a bounded sample (FIT_ROWS rows, chosen by a hash of id and text; equal rows count once) train a
+   linear scorer over hashed features, by logistic regression.
 4. The scorer is applied to every text. Texts that score below the threshold are rejected.
 
-Nulls and texts without a word get score 0 and are rejected, as there is nothing to keep. Texts are read whole.
-Repeated rows get the same score; an empty table gives an empty result. Only the named columns are read.
+Nulls and texts without a word get score 0 and are rejected, as there is nothing to keep; so are null ids treated like
+any others. Texts are read whole. Repeated rows get the same score, and so do equal texts; a score at the threshold is
+kept. An empty table gives an empty result. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -20,16 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, discard, materialize
 
 DIM = 1 << 12
+#: Rows that train the scorer, half of each side; the hash gives about so many, and never more.
 FIT_ROWS = 6000
 THRESHOLD = 0.35
 ANCHOR = 0.1
-PIECE = 1 << 20
 
 # Frequent function words of the languages served.
 FUNCTION_WORDS = frozenset(
@@ -85,6 +86,8 @@ def _band(value: float, good: bool, bad: bool) -> int:
 
 
 # Each votes 1 (good), -1 (bad) or 0 (abstains). Several only ever object, so abstaining counts as an outcome too.
+# Shares of few words say little, so some abstain on short texts. Variety abstains on long ones too: the share of distinct
+# words falls with the length of any text, so that its bounds hold between 30 and 3000 words only.
 LABELLERS = {
     "symbols": lambda f: _band(f.symbols, False, f.symbols > 0.08),
     "upper": lambda f: _band(f.upper, False, f.upper > 0.3) if f.n_words >= 5 else 0,
@@ -186,16 +189,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     """Learn from the texts alone; no given label is used."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    given = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    place = F.xxhash64(F.col(id_col).cast("string"), text, F.lit("quality"))
+    given = docs.select(place.alias("place"), text.alias("text"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found = [votes(t if isinstance(t, str) else None) for t in frame["text"]]
             keep = [k for k, v in enumerate(found) if v is not None]
             if keep:
-                yield pd.DataFrame({"id": frame["id"].iloc[keep], "votes": ["".join("-0+"[x + 1] for x in found[k]) for k in keep]})
+                yield pd.DataFrame({"place": frame["place"].iloc[keep], "votes": ["".join("-0+"[x + 1] for x in found[k]) for k in keep]})
 
-    voted = materialize(given.mapInPandas(run, "id string, votes string"), "quality-votes")
+    voted = materialize(given.mapInPandas(run, "place bigint, votes string"), "quality-votes")
     seen = voted.groupBy("votes").count().orderBy("votes").collect()
     if not seen:
         discard(voted)
@@ -203,23 +208,27 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     patterns = np.array([["-0+".index(c) - 1 for c in r["votes"]] for r in seen])
     counts = np.array([r["count"] for r in seen], float)
     post, accuracies, prior = em(patterns, counts)
-    by_votes = {r["votes"]: float(p) for r, p in zip(seen, post, strict=True)}
 
-    # both classes get up to half of the sample, by the posterior's side
+    # both classes get up to half of the sample, by the posterior's side; equal rows share a place and count once
     sides = {g: float(sum(c for c, p in zip(counts, post, strict=True) if (p >= 0.5) == g)) for g in (True, False)}
-    rows = [(v, p, min(1.0, sample / 2 / max(1.0, sides[p >= 0.5]))) for v, p in by_votes.items()]
-    table = spark.createDataFrame(rows, "votes string, target double, rate double")
-    place = F.pmod(F.xxhash64("id", F.lit("quality")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = voted.join(F.broadcast(table), "votes").filter(place < F.col("rate")).select("id", "target").distinct()
+    rows = [(r["votes"], float(p), bool(p >= 0.5), min(1.0, sample / 2 / max(1.0, sides[p >= 0.5]))) for r, p in zip(seen, post, strict=True)]
+    table = spark.createDataFrame(rows, "votes string, target double, side boolean, rate double")
+    share = F.shiftrightunsigned("place", 34) / F.lit(float(1 << 30))
+    some = voted.join(F.broadcast(table), "votes").filter(share < F.col("rate")).select("place", "target", "side").distinct()
+    first = Window.partitionBy("side").orderBy(F.shiftrightunsigned("place", 34), "place")
+    some = some.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample // 2 + sample // 8)
+    chosen = materialize(some.select("place", "target"), "quality-sample")
 
     def vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found = [features(t if isinstance(t, str) else None) for t in frame["text"]]
-            yield pd.DataFrame({"id": frame["id"], "target": frame["target"], "idx": [x[0] for x in found], "val": [x[1] for x in found]})
+            yield pd.DataFrame({"place": frame["place"], "target": frame["target"], "idx": [x[0] for x in found], "val": [x[1] for x in found]})
 
-    # the chosen ids number about `sample`, whatever the input's size
-    training = given.join(F.broadcast(chosen), "id").mapInPandas(vectors, "id string, target double, idx array<int>, val array<float>").toPandas().sort_values("id")
+    # the chosen places number about `sample` whatever the input's size; of equal rows one goes on
+    texts = given.join(F.broadcast(chosen), "place").groupBy("place").agg(F.first("target").alias("target"), F.first("text").alias("text"))
+    training = texts.mapInPandas(vectors, "place bigint, target double, idx array<int>, val array<float>").toPandas().sort_values("place")
     discard(voted)
+    discard(chosen)
     weights = fit_linear([np.asarray(x) for x in training["idx"]], [np.asarray(x) for x in training["val"]], training["target"].to_numpy(float))
     return Scorer(weights, accuracies, prior)
 

@@ -52,3 +52,34 @@ def test_corner_cases(docs):
 def test_empty(docs):
     assert quality.score(docs([]), quality.fit(docs([]))).count() == 0
     assert quality.score(docs([(1, None)]), quality.fit(docs([(1, None)]))).first()["keep"] is False
+
+
+def test_sample_is_bounded(docs):
+    # one id on every row, and one row many times: the sample stays small, and the split right
+    rows = [(7 if i % 2 else None, t) for i, t in corpus()] + [(7, "$$$ ### !!! " * 30)] * 500
+    scorer = quality.fit(docs(rows), sample=40)
+    kept = [r["keep"] for r in quality.score(docs([(k, t) for k, (_, t) in enumerate(corpus())]), scorer).orderBy("doc_id").collect()]
+    assert sum(kept[i] for i in range(800) if i % 10) >= 0.9 * 720 and sum(kept[i] for i in range(0, 800, 10)) <= 0.2 * 80
+
+
+def test_like_plain_python(docs):
+    """The whole of fit in one process: votes, EM over their patterns, and a dense logistic regression."""
+    rows = corpus()[:300]
+    found = [quality.votes(t) for _, t in rows]
+    patterns, inverse, counts = np.unique(np.array(found), axis=0, return_inverse=True, return_counts=True)
+    post, accuracies, prior = quality.em(patterns, counts.astype(float))
+    x = np.zeros((len(rows), quality.DIM))
+    for row, (_, t) in zip(x, rows, strict=True):
+        idx, val = quality.features(t)
+        row[idx] = val
+    y = post[inverse.ravel()]
+    weight = (y / y.sum() + (1 - y) / (1 - y).sum()) / 2
+    w, step = np.zeros(quality.DIM), np.zeros(quality.DIM)
+    for _ in range(300):
+        p = 1 / (1 + np.exp(-(x @ w)))
+        step = 0.9 * step - 4.0 * (x.T @ (weight * (p - y)) + 1e-4 * w)
+        w = w + step
+    scorer = quality.fit(docs(rows))
+    assert abs(scorer.prior - prior) < 1e-3 and np.abs(scorer.accuracies - accuracies).max() < 1e-3
+    got = [r["score"] for r in quality.score(docs(rows), scorer).orderBy("doc_id").collect()]
+    assert np.abs(np.array(got) - 1 / (1 + np.exp(-(x @ w)))).max() < 0.02
