@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +77,30 @@ def parts_for(n_bytes: int, target: int, least: int = 8) -> int:
     return max(least, -(-n_bytes // target))
 
 
+def _murmur3(x: np.ndarray, seed: int = 42) -> np.ndarray:
+    """Spark's hash of 32-bit integers."""
+    turn = lambda v, n: v << np.uint32(n) | v >> np.uint32(32 - n)
+    h = turn(x.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+    h = turn(np.uint32(seed) ^ h, 13) * np.uint32(5) + np.uint32(0xE6546B64) ^ np.uint32(4)
+    h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+    h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+    return h ^ h >> np.uint32(16)
+
+
+def partition_keys(n: int) -> np.ndarray:
+    """For each of n partitions an integer that Spark's partitioner by hash puts there, so that n groups fill them evenly.
+    Only balance depends on it."""
+    keys, at = np.full(n, -1, np.int64), 0
+    while (keys < 0).any():
+        some = np.arange(at, at + 4 * n + 64)
+        to = _murmur3(some).view(np.int32).astype(np.int64) % n
+        parts, first = np.unique(to, return_index=True)
+        new = keys[parts] < 0
+        keys[parts[new]] = some[first[new]]
+        at += len(some)
+    return keys
+
+
 def batches(frames: Iterable, rows: int) -> Iterator:
     """Slices of at most `rows` rows of an iterator of pandas frames."""
     for frame in frames:

@@ -6,7 +6,10 @@ with the chunks' lengths. Containment of one text in another is the length of it
 as a share of its own length; an insertion moves few boundaries and so changes few chunks.
 
 Nulls count as the empty text, whose fingerprint is empty; two empty fingerprints are alike (1), an empty one and
-another are not (0). Equal texts have equal fingerprints. Whole texts are chunked, in time linear in their length.
+another are not (0). Equal texts have equal fingerprints. Whole texts are chunked, in time linear in their length; the
+gear hash goes over pieces of a very long text, and what is held of it besides its bytes are the ends of its chunks.
+Repeated rows each get their fingerprint; in the report, rows of one id follow each other in the order of their texts, and
+null ids come first. An empty table gives an empty result. Columns besides those named are ignored.
 """
 
 from __future__ import annotations
@@ -22,12 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, parts_for, text_bytes
+from .common import bounded_batches, partition_keys, parts_for, text_bytes
 
 MIN_CHUNK, NORMAL_CHUNK, MAX_CHUNK = 8, 24, 128
 STRICT_BITS, LOOSE_BITS = 6, 3
-PART_BYTES = 16 << 20
-MAX_PARTS = 20_000
+#: Bytes of a range of ids. Beyond PARTS ranges they grow, up to MAX_PART_BYTES; a range is read as a stream.
+PART_BYTES, MAX_PART_BYTES, PARTS = 16 << 20, 128 << 20, 2_000
+#: Bytes over which the gear hash goes at once.
+PIECE = 1 << 20
+WINDOW = 32
 
 
 def gear_table(seed: int = 0) -> np.ndarray:
@@ -51,15 +57,24 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def cut_points(data: bytes) -> tuple[list[int], list[int]]:
+    """Where the strict and where the loose mask allow a boundary, piece by piece."""
+    strict, loose = [], []
+    for at in range(0, len(data), PIECE):
+        back = min(at, WINDOW - 1)
+        h = gear_hashes(np.frombuffer(data[at - back : at + PIECE], np.uint8))[back:]
+        found = np.flatnonzero((h >> np.uint32(32 - LOOSE_BITS)) == 0)
+        strict += (found[(h[found] >> np.uint32(32 - STRICT_BITS)) == 0] + (at + 1)).tolist()
+        loose += (found + (at + 1)).tolist()
+    return strict, loose
+
+
 def boundaries(data: bytes) -> list[int]:
     """Ends of the chunks of a text."""
     n = len(data)
     if n <= MIN_CHUNK:
         return [n] if n else []
-    h = gear_hashes(np.frombuffer(data, np.uint8))
-    loose = np.flatnonzero((h >> np.uint32(32 - LOOSE_BITS)) == 0)
-    strict = (loose[(h[loose] >> np.uint32(32 - STRICT_BITS)) == 0] + 1).tolist()
-    loose = (loose + 1).tolist()
+    strict, loose = cut_points(data)
     out, start, i, j = [], 0, 0, 0
     while n - start > MIN_CHUNK:
         end = min(n, start + MAX_CHUNK)
@@ -116,35 +131,30 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return given.mapInPandas(run, f"id {docs.schema[id_col].dataType.simpleString()}, fingerprint string").withColumnRenamed("id", id_col)
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
-    """Rows dealt to ranges of ascending id: range, tail, id, text, sorted; a range ends with the next range's first
-    row, marked as tail, and the last with the very first. The texts are shuffled once. Null ids come first."""
-    spark = docs.sparkSession
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows dealt to ranges of ascending id: place, id, text, sorted; a range ends with the next range's first row, whose
+    place is odd, and the last with the very first. The texts are shuffled once. Null ids come first."""
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), order.alias("order"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n = min(MAX_PARTS, parts_for(text_bytes(rows), PART_BYTES))
-    bounds = rows.agg(F.percentile_approx("order", [k / n for k in range(1, n)], 100 * n).alias("b")).first()["b"] or []
-    bounds = np.unique(np.array(bounds, np.int64))
-
-    def ranges(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.to_numpy(np.int64), side="left").astype(np.int32))
-
-    ranges = F.pandas_udf(ranges, T.IntegerType())
-    firsts = sorted((r["range"], r["first"]) for r in rows.select("order").groupBy(ranges("order").alias("range")).agg(F.min("order").alias("first")).collect())
-    first_ids = np.array([f for _, f in firsts], np.int64)
-    before = np.array([firsts[k - 1][0] for k in range(len(firsts))], np.int32)
+    total = text_bytes(rows)
+    n = parts_for(total, max(PART_BYTES, min(MAX_PART_BYTES, total // PARTS)))
+    # the ids alone, in ranges of about as many rows: their first ids are the bounds
+    ids = rows.select("order").repartitionByRange(n, "order").groupBy(F.spark_partition_id().alias("part")).agg(F.min("order").alias("first"))
+    firsts = np.unique(np.array([r["first"] for r in ids.collect()], np.int64))  # a number for each range
+    keys = partition_keys(max(1, len(firsts)))
 
     def places(ids: pd.Series) -> pd.Series:
-        """The range of each row as an even number, and that of which it is the tail as an odd one."""
+        """The range of each row as an even number, and that of which it is the tail as an odd one; a key for each above."""
         x = ids.to_numpy(np.int64)
-        own = np.searchsorted(bounds, x, side="left") * 2
-        at = np.minimum(np.searchsorted(first_ids, x), max(0, len(first_ids) - 1))
-        first = first_ids[at] == x
-        return pd.Series([[int(o), int(before[a]) * 2 + 1] if f else [int(o)] for o, a, f in zip(own, at, first, strict=True)])
+        own = np.searchsorted(firsts, x, side="right") - 1
+        before = (own - 1) % len(firsts)
+        here, tail = own * 2 | keys[own] << 32, before * 2 + 1 | keys[before] << 32
+        return pd.Series([[h, t] if f else [h] for h, t, f in zip(here.tolist(), tail.tolist(), (firsts[own] == x).tolist(), strict=True)])
 
-    places = F.pandas_udf(places, T.ArrayType(T.IntegerType()))
-    dealt = rows.select("id", "order", "text", F.explode(places("order")).alias("place")).withColumn("range", F.shiftright("place", 1))
-    return dealt.repartition(n, "range").sortWithinPartitions("range", "place", "order", "text"), n
+    places = F.pandas_udf(places, T.ArrayType(T.LongType()))
+    dealt = rows.select("id", "order", "text", F.explode(places("order")).alias("at"))
+    dealt = dealt.select("id", "order", "text", F.shiftright("at", 32).cast("int").alias("key"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("place"))
+    return dealt.repartition(max(1, len(firsts)), "key").sortWithinPartitions(F.shiftright("place", 1), "place", "order", "text").select("id", "place", "text")
 
 
 def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,7 +163,7 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     The edited form replaces the last floor(n/2) code points by the first as many of the next text, or all.
     """
     bounded_batches(docs.sparkSession)
-    dealt, _ = with_next(docs, id_col, text_col)
+    dealt = with_next(docs, id_col, text_col)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         prior = None  # the row before: range, whether a tail, id, text, fingerprint
@@ -171,4 +181,4 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pd.DataFrame(out, columns=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]).astype({"id": "Int64", "n_chars": "int64"})
 
     kinds = "id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.select("id", "place", "text").mapInPandas(run, kinds).withColumnRenamed("id", id_col)
+    return dealt.mapInPandas(run, kinds).withColumnRenamed("id", id_col)

@@ -3,7 +3,10 @@ import random
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from kinweave.llm import fingerprint as fp
+from kinweave.llm.common import partition_keys
 
 
 def words(seed, n):
@@ -56,9 +59,25 @@ def test_report(docs, monkeypatch):
     check(docs, rows)
     check(docs, [(1, "only one text in here")])
     check(docs, [(2, "same"), (2, "same"), (None, "no id")])
+    check(docs, [(7, words(i, 40)) for i in range(40)] + [(None, words(i, 9)) for i in range(9)] + [(8, "x")])
+    check(docs, [(i - (1 << 40), words(i, 8000 if i == 30 else 3)) for i in range(60)])
     assert fp.edit_report(docs([])).count() == 0
 
 
 def test_equal_texts(docs):
     out = {r["doc_id"]: r["fingerprint"] for r in fp.fingerprints(docs([(1, "x y z" * 50), (2, "x y z" * 50), (3, None), (4, "")])).collect()}
     assert out[1] == out[2] and out[3] == out[4] == ""
+
+
+def test_pieces_change_nothing(monkeypatch):
+    text = words(5, 3000)
+    whole = fp.fingerprint(text)
+    monkeypatch.setattr(fp, "PIECE", 100)
+    assert fp.fingerprint(text) == whole
+
+
+def test_partition_keys(spark):
+    for n in (1, 2, 7, 200):
+        keys = partition_keys(n)
+        got = spark.createDataFrame([(int(k), i) for i, k in enumerate(keys)], "k int, i int").repartition(n, "k").select("i", F.spark_partition_id().alias("p"))
+        assert all(r["i"] == r["p"] for r in got.collect())
