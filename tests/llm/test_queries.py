@@ -16,6 +16,9 @@ COLUMNS = {
     "op7_pii": ("doc_id bigint", "n_email bigint", "n_ip bigint", "n_card bigint", "n_phone bigint", "base_sha256 string", "spans string"),
     "op8_mix": ("doc_id bigint", "size bigint", "source_size bigint", "target double", "taken bigint"),
     "op9_fingerprint": ("doc_id bigint", "n_chars bigint", "edited_sha256 string", "fingerprint string", "edited_fingerprint string", "near_edited double", "near_next double"),
+    "pii_counts": ("doc_id bigint", "n_email bigint", "n_ip bigint", "n_card bigint", "n_phone bigint"),
+    "mix_targets": ("doc_id bigint", "size bigint", "source_size bigint", "target double"),
+    "edit_digests": ("doc_id bigint", "n_chars bigint", "edited_sha256 string"),
     "op10_quality": ("doc_id bigint", "score double", "keep boolean"),
 }
 
