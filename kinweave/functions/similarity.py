@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,14 +77,107 @@ def partial_ratio(a: str, b: str) -> float:
     return max(best, _best_window(text, s)) if len(s) == len(text) else best
 
 
+#: Characters of one machine word, and pairs of strings that are compared together.
+LANE, LANES = 64, 4096
+
+
+def _codes(texts: list[str], width: int, pad: int) -> np.ndarray:
+    """Code points in rows of one width."""
+    joined = "".join([t.ljust(width, "\0") for t in texts])
+    out = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(texts), width).copy()
+    out[np.arange(width) >= np.array([len(t) for t in texts])[:, None]] = pad
+    return out
+
+
+def lcs_steps(a: list[str], b: list[str]) -> np.ndarray:
+    """LCS of each a (at most LANE characters) with every prefix of its b: a row for each pair, a column for each length.
+
+    The recurrence of `lcs_length` on 64-bit words, one for each pair, for all pairs at once. Beyond the end of a b the
+    value stays.
+    """
+    wide = max([1, *map(len, a)])
+    x, y = _codes(a, wide, 0xFFFFFFFF), _codes(b, max([1, *map(len, b)]), 0xFFFFFFFE)
+    bits = np.zeros((len(a), LANE), bool)
+    size = np.array([len(t) for t in a])
+    full = np.where(size == LANE, ~np.uint64(0), (np.uint64(1) << size.astype(np.uint64) % np.uint64(LANE)) - np.uint64(1))
+    row, out = full.copy(), np.zeros((len(a), y.shape[1] + 1), np.int32)
+    with np.errstate(over="ignore"):
+        for j in range(y.shape[1]):
+            np.equal(x, y[:, j, None], out=bits[:, :wide])
+            hit = row & np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
+            row = (row + hit | row - hit) & full
+            out[:, j + 1] = size - np.bitwise_count(row)
+    return out
+
+
+def _in_lanes(pairs: list[tuple[str, str]], kernel: Callable[[list[tuple[str, str]]], np.ndarray], slow: Callable[[str, str], float]) -> np.ndarray:
+    """A symmetric function of pairs: each distinct pair once, those of like lengths together, long ones one by one."""
+    place: dict[tuple[str, str], int] = {}
+    of = np.array([place.setdefault((x, y) if (len(x), x) <= (len(y), y) else (y, x), len(place)) for x, y in pairs], np.int64)
+    distinct = list(place)
+    found = np.empty(len(distinct))
+    short = [k for k, (x, y) in enumerate(distinct) if 0 < len(x) and len(x) <= LANE]
+    for k in set(range(len(distinct))) - set(short):
+        found[k] = slow(*distinct[k])
+    short.sort(key=lambda k: (len(distinct[k][1]), len(distinct[k][0])))
+    for at in range(0, len(short), LANES):
+        own = short[at : at + LANES]
+        found[own] = kernel([distinct[k] for k in own])
+    return found[of] if len(of) else np.zeros(0)
+
+
+def indel_ratios(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """indel_ratio of many pairs."""
+
+    def kernel(some: list[tuple[str, str]]) -> np.ndarray:
+        a, b = zip(*some, strict=True)
+        return 2 * lcs_steps(list(a), list(b))[:, -1] / np.array([len(x) + len(y) for x, y in some])
+
+    return _in_lanes(pairs, kernel, indel_ratio)
+
+
+def _best_windows(s: list[str], text: list[str]) -> np.ndarray:
+    """_best_window of many pairs: prefixes and suffixes by one pass each, inner windows as pairs of their own."""
+    m = np.array([len(x) for x in s])
+    best = np.zeros(len(s))
+    for own, whole in ((s, [t[: len(x)] for x, t in zip(s, text, strict=True)]), ([x[::-1] for x in s], [t[::-1][: len(x)] for x, t in zip(s, text, strict=True)])):
+        steps = lcs_steps(own, whole)
+        k = np.arange(steps.shape[1])
+        ratio = np.where((k > 0) & (k <= m[:, None]), 2 * steps / (m[:, None] + k), 0.0)
+        best = np.maximum(best, ratio.max(1))
+    inner = [(i, x, t[at : at + len(x)]) for i, (x, t) in enumerate(zip(s, text, strict=True)) if best[i] < 1.0 for at in range(1, len(t) - len(x))]
+    for at in range(0, len(inner), LANES):
+        own, x, w = zip(*inner[at : at + LANES], strict=True)
+        np.maximum.at(best, np.array(own), lcs_steps(list(x), list(w))[:, -1] / np.array([len(y) for y in x]))
+    return best
+
+
+def partial_ratios(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """partial_ratio of many pairs."""
+
+    def kernel(some: list[tuple[str, str]]) -> np.ndarray:
+        out = np.ones(len(some))
+        left = [k for k, (x, y) in enumerate(some) if x not in y]
+        if left:
+            x, y = [some[k][0] for k in left], [some[k][1] for k in left]
+            best = _best_windows(x, y)
+            same = [k for k in range(len(left)) if len(x[k]) == len(y[k])]
+            if same:
+                best[same] = np.maximum(best[same], _best_windows([y[k] for k in same], [x[k] for k in same]))
+            out[left] = best
+        return out
+
+    return _in_lanes(pairs, kernel, partial_ratio)
+
+
 @F.pandas_udf(T.DoubleType())
 def indel(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([indel_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float)
+    return pd.Series(indel_ratios([(x or "", y or "") for x, y in zip(a, b, strict=True)]), dtype=float)
 
 
 @F.pandas_udf(T.DoubleType())
 def partial(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([partial_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float)
+    return pd.Series(partial_ratios([(x or "", y or "") for x, y in zip(a, b, strict=True)]), dtype=float)
 
 
 def sorted_words(c: Column) -> Column:

@@ -74,6 +74,16 @@ def test_partial_ratio():
     assert S.indel_ratio("kitten", "sitting") == pytest.approx(8 / 13) and S.indel_ratio("", "") == 1
 
 
+def test_batches_like_single_pairs():
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcde é😀\0") for _ in range(n))
+    pairs = [(text(rng.choice([0, 1, 5, 20, 63, 64, 65, 90])), text(rng.choice([0, 1, 7, 22, 64, 100, 150]))) for _ in range(700)]
+    pairs += [(a, a) for a, _ in pairs[:30]] + [(a, "x" + a + "y") for a, _ in pairs[:30]] + [(b, a) for a, b in pairs[:50]]
+    assert S.indel_ratios(pairs).tolist() == [S.indel_ratio(a, b) for a, b in pairs]
+    assert S.partial_ratios(pairs).tolist() == [S.partial_ratio(a, b) for a, b in pairs]
+    assert S.indel_ratios([]).tolist() == [] and S.partial_ratios([("", "")]).tolist() == [1.0]
+
+
 PAIR = "s1_id string, other_id string, name1 string, addr1 string, country1 string, name2 string, addr2 string, country2 string"
 
 
