@@ -56,13 +56,13 @@ def multi_owned(edges: DataFrame) -> DataFrame:
 
 
 def run_summary(universe: DataFrame, edges: DataFrame, candidates: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Counts of a run: what, n."""
-    counts = {
-        "entities": universe.select("s1_id").distinct(),
-        "true_pairs": edges,
-        "candidates": candidates,
-        "positives": candidates.join(edges, ["s1_id", "other_id"], "left_semi"),
-        "predicted_pairs": predicted,
-        "predicted_non_singletons": predicted.select("s1_id").distinct(),
-    }
-    return reduce(DataFrame.unionByName, [df.agg(F.lit(k).alias("what"), F.count("*").alias("n")) for k, df in counts.items()])
+    """Counts of a run: what, n. Each frame is read once; pairs meet in one shuffle."""
+    flags = ("true_pairs", "candidates", "predicted_pairs")
+    mark = lambda df, own: df.select("s1_id", "other_id", *[F.lit(int(f == own)).cast("long").alias(f) for f in flags])
+    pairs = reduce(DataFrame.unionByName, [mark(df, f) for df, f in zip((edges, candidates, predicted), flags, strict=True)])
+    pairs = pairs.groupBy("s1_id", "other_id").agg(*[F.sum(f).alias(f) for f in flags])
+    by_entity = pairs.groupBy("s1_id").agg(*[F.sum(f).alias(f) for f in flags], F.sum(F.when(F.col("true_pairs") > 0, F.col("candidates")).otherwise(0)).alias("positives"))
+    totals = by_entity.agg(*[F.coalesce(F.sum(f), F.lit(0)).alias(f) for f in (*flags, "positives")], F.count(F.when(F.col("predicted_pairs") > 0, 1)).alias("predicted_non_singletons"))
+    entities = universe.agg(F.countDistinct("s1_id").alias("entities"))
+    names = ["entities", "true_pairs", "candidates", "positives", "predicted_pairs", "predicted_non_singletons"]
+    return entities.crossJoin(totals).unpivot([], names, "what", "n")

@@ -5,8 +5,11 @@ A report has severity, rule, n and examples (up to five, in order, joined by com
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,14 +21,41 @@ class ValidationError(ValueError):
     """An input breaks a rule that must hold."""
 
 
-def finding(bad: DataFrame, column: str, rule: str, severity: str = ERROR) -> DataFrame:
-    """One report row: how many rows are bad, and the first examples; no row if there are none.
+def flagged(bad: DataFrame, column: str, rule: str, severity: str = ERROR) -> DataFrame:
+    """Bad rows as severity, rule and example, for `report`."""
+    return bad.select(F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), F.col(column).cast("string").alias("example"))
+
 
-    Examples are the smallest values, found by a top-k, so that no task gathers all bad values.
+def report(*flags: DataFrame) -> DataFrame:
+    """One row for each rule that has bad rows: how many, and the first examples.
+
+    Every frame is read once: partitions hand on counts and their smallest values, so that no task gathers all bad rows.
     """
-    few = bad.select(F.col(column).cast("string").alias("x")).distinct().orderBy("x").limit(EXAMPLES)
-    examples = few.agg(F.array_join(F.array_sort(F.collect_list("x")), ",").alias("examples"))
-    return bad.agg(F.count("*").alias("n")).crossJoin(examples).filter("n > 0").select(F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), "n", "examples")
+
+    def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n: Counter[tuple[str, str]] = Counter()
+        few: dict[tuple[str, str], list[str]] = {}
+        for frame in frames:
+            for key, own in frame.groupby(["severity", "rule"])["example"]:
+                n[key] += len(own)
+                few[key] = sorted({*few.get(key, ()), *own.dropna()}, key=_utf8)[:EXAMPLES]
+        yield pd.DataFrame([(*key, n[key], few[key]) for key in n], columns=["severity", "rule", "n", "few"])
+
+    def whole(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        few = sorted({x for xs in frame["few"] for x in xs}, key=_utf8)[:EXAMPLES]
+        return pd.DataFrame({"severity": [key[0]], "rule": [key[1]], "n": [int(frame["n"].sum())], "examples": [",".join(few)]})
+
+    parts = reduce(DataFrame.unionByName, flags).mapInPandas(part, "severity string, rule string, n bigint, few array<string>")
+    return parts.groupBy("severity", "rule").applyInPandas(whole, "severity string, rule string, n bigint, examples string")
+
+
+def _utf8(x: str) -> bytes:
+    return x.encode("utf-8", "surrogatepass")
+
+
+def finding(bad: DataFrame, column: str, rule: str, severity: str = ERROR) -> DataFrame:
+    """The report on one rule; no row if nothing is bad."""
+    return report(flagged(bad, column, rule, severity))
 
 
 def unknown_s1(gt: DataFrame, s1: DataFrame) -> DataFrame:
@@ -45,7 +75,7 @@ def s1_without_truth(gt: DataFrame, s1: DataFrame) -> DataFrame:
 
 def referential_report(gt: DataFrame, edges: DataFrame, s1: DataFrame, s2: DataFrame, s3: DataFrame) -> DataFrame:
     """The three referential rules of a ground truth."""
-    return finding(unknown_s1(gt, s1), "s1_id", "truth_of_unknown_s1").unionByName(finding(unknown_targets(edges, s2, s3), "other_id", "truth_of_unknown_target")).unionByName(finding(s1_without_truth(gt, s1), "s1_id", "s1_without_truth"))
+    return report(flagged(unknown_s1(gt, s1), "s1_id", "truth_of_unknown_s1"), flagged(unknown_targets(edges, s2, s3), "other_id", "truth_of_unknown_target"), flagged(s1_without_truth(gt, s1), "s1_id", "s1_without_truth"))
 
 
 def require(report: DataFrame) -> None:
@@ -57,21 +87,25 @@ def require(report: DataFrame) -> None:
 
 def list_report(lists: DataFrame, required: DataFrame, known: DataFrame | None = None, name: str = "matching") -> DataFrame:
     """Rules of an output file. lists: s1_id, ids (array, as written); required: s1_id; known: other_id, if to be checked."""
-    items = lists.select("s1_id", F.explode("ids").alias("other_id")).filter("other_id <> ''")
-    seen = lists.select("s1_id").distinct()
-    need = required.select("s1_id").distinct()
-    proper = F.col("other_id").startswith("S2-") | F.col("other_id").startswith("S3-")
-    found = [
-        finding(lists.groupBy("s1_id").count().filter("count > 1"), "s1_id", f"{name}:duplicate_entity"),
-        finding(lists.filter(F.size("ids") != F.size(F.array_distinct("ids"))), "s1_id", f"{name}:duplicate_id_in_list"),
-        finding(items.filter(F.col("other_id").startswith("S1-")), "s1_id", f"{name}:self_match"),
-        finding(items.filter(~proper & ~F.col("other_id").startswith("S1-")), "other_id", f"{name}:wrong_prefix"),
-        finding(need.join(seen, "s1_id", "left_anti"), "s1_id", f"{name}:missing_entity"),
-        finding(seen.join(need, "s1_id", "left_anti"), "s1_id", f"{name}:unexpected_entity"),
-    ]
+    # rules of a row and of its items: one scan of the lists
+    self_match, proper = (lambda x: x.startswith("S1-")), (lambda x: x.startswith("S2-") | x.startswith("S3-"))
+    rule = lambda name_, example: F.struct(F.lit(ERROR).alias("severity"), F.lit(f"{name}:{name_}").alias("rule"), example.alias("example"))
+    given = F.filter("ids", lambda x: x != "")
+    own = F.transform(F.filter(given, self_match), lambda _: rule("self_match", F.col("s1_id")))
+    wrong = F.transform(F.filter(given, lambda x: ~proper(x) & ~self_match(x)), lambda x: rule("wrong_prefix", x))
+    twice = F.when(F.size("ids") != F.size(F.array_distinct("ids")), F.array(rule("duplicate_id_in_list", F.col("s1_id")))).otherwise(F.array())
+    of_rows = lists.select(F.explode(F.concat(own, wrong, twice)).alias("x")).select("x.*")
+    # rules of entities: one meeting of those seen and those required
+    seen = lists.groupBy("s1_id").agg(F.count("*").alias("n"))
+    need = required.select("s1_id").distinct().withColumn("need", F.lit(True))
+    met = seen.join(need, "s1_id", "full_outer")
+    entity = F.col("s1_id")
+    faults = F.filter(F.array(F.when(F.col("n") > 1, rule("duplicate_entity", entity)), F.when(F.col("n").isNull(), rule("missing_entity", entity)), F.when(F.col("need").isNull(), rule("unexpected_entity", entity))), lambda x: x.isNotNull())
+    found = [of_rows, met.select(F.explode(faults).alias("x")).select("x.*")]
     if known is not None:
-        found.append(finding(items.filter(proper).join(known.select("other_id"), "other_id", "left_anti").select("other_id").distinct(), "other_id", f"{name}:unknown_id"))
-    return reduce(DataFrame.unionByName, found)
+        items = lists.select(F.explode(F.filter(given, proper)).alias("other_id")).distinct()
+        found.append(flagged(items.join(known.select("other_id"), "other_id", "left_anti"), "other_id", f"{name}:unknown_id"))
+    return report(*found)
 
 
 def matches_beyond_candidates(matching: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -90,9 +124,10 @@ def parse_lists(lines: DataFrame, header: tuple[str, str]) -> tuple[DataFrame, D
     wrong = head.filter(F.array_join(F.transform(F.split(first, "\t"), lambda x: F.trim(x)), "\t") != "\t".join(header))
     empty = lines.agg(F.count("*").alias("lines")).filter("lines = 0").select(F.lit("").alias("value"))
     found = [
-        finding(empty, "value", "format:empty_file"),
-        finding(wrong.filter((F.instr("value", "\t") == 0) & (F.instr("value", ",") > 0)), "value", "format:commas_for_tabs"),
-        finding(wrong.filter((F.instr("value", "\t") > 0) | (F.instr("value", ",") == 0)), "value", "format:wrong_header"),
-        finding(body.filter(F.instr("value", "\t") == 0), "line", "format:row_without_tab"),
+        flagged(empty, "value", "format:empty_file"),
+        flagged(wrong.filter((F.instr("value", "\t") == 0) & (F.instr("value", ",") > 0)), "value", "format:commas_for_tabs"),
+        flagged(wrong.filter((F.instr("value", "\t") > 0) | (F.instr("value", ",") == 0)), "value", "format:wrong_header"),
+        flagged(body.filter(F.instr("value", "\t") == 0), "line", "format:row_without_tab"),
+        flagged(lines.filter(~F.is_valid_utf8("value")), "line", "format:not_utf8"),
     ]
-    return lists, reduce(DataFrame.unionByName, found)
+    return lists, report(*found)

@@ -6,22 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normalize import strip_any
-from ..operators.validate import ValidationError, finding
+from ..operators.validate import ValidationError
 
 REQUIRED = ("entity_id", "business_name", "business_address", "country")
 HEADERS = {"matching": ("source1_entity_id", "matched_entity_ids"), "candidate": ("source1_entity_id", "candidate_entity_ids")}
 
 
+def _has_open_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether some line has an odd number of quotes, and so may hold a quoted line break."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).limit(1).isEmpty()
+
+
 def _read(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as strings, blanks as "", `NA` and `NULL` as they stand; quotes are doubled inside quotes."""
-    df = spark.read.csv(path, sep="\t", header=True, quote='"', escape='"', multiLine=True, inferSchema=False, nullValue="\u0000", emptyValue="")
+    """All columns as strings, blanks as "", `NA` and `NULL` as they stand; quotes are doubled inside quotes.
+
+    Files are split between tasks, unless a quoted line break may stand in them: only then is each read by one task.
+    """
+    df = spark.read.csv(path, sep="\t", header=True, quote='"', escape='"', multiLine=_has_open_quotes(spark, path), inferSchema=False, nullValue="\u0000", emptyValue="")
     return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
 
 
-def _fail_if(bad: DataFrame, column: str, what: str, path: str) -> None:
-    rows = finding(bad, column, what).collect()  # one row at most
-    if rows:
-        raise ValidationError(f"{path}: {what}: {rows[0]['n']} rows, such as {rows[0]['examples']}")
+def _check_keys(df: DataFrame, column: str, twice: str, path: str, prefix: str | None = None) -> None:
+    """One aggregate over a key column: no value twice, and all with the prefix."""
+    key = F.col(column)
+    counts = df.groupBy(column).agg(F.count("*").alias("n"))
+    wrong = F.lit(False) if prefix is None else ~key.startswith(prefix)
+    r = counts.agg(F.sum(F.when(wrong, F.col("n"))).alias("wrong"), F.min(F.when(wrong, key)).alias("a"), F.count(F.when(F.col("n") > 1, 1)).alias("twice"), F.min(F.when(F.col("n") > 1, key)).alias("b")).first()
+    for n, example, what in ((r["wrong"], r["a"], f"ids without the prefix {prefix}"), (r["twice"], r["b"], twice)):
+        if n:
+            raise ValidationError(f"{path}: {what}: {n}, such as {example}")
 
 
 def load_source(spark: SparkSession, path: str, prefix: str) -> DataFrame:
@@ -30,8 +44,7 @@ def load_source(spark: SparkSession, path: str, prefix: str) -> DataFrame:
     missing = [c for c in REQUIRED if c not in df.columns]
     if missing:
         raise ValidationError(f"{path}: missing columns {missing}")
-    _fail_if(df.filter(~F.col("entity_id").startswith(prefix)), "entity_id", f"ids without the prefix {prefix}", path)
-    _fail_if(df.groupBy("entity_id").count().filter("count > 1"), "entity_id", "ids that occur twice", path)
+    _check_keys(df, "entity_id", "ids that occur twice", path, prefix)
     return df.withColumns({c: strip_any(F.col(c)) for c in REQUIRED})
 
 
@@ -52,7 +65,7 @@ def load_ground_truth(spark: SparkSession, path: str) -> DataFrame:
     missing = [c for c in HEADERS["matching"] if c not in df.columns]
     if missing:
         raise ValidationError(f"{path}: missing columns {missing}")
-    _fail_if(df.groupBy("source1_entity_id").count().filter("count > 1"), "source1_entity_id", "entities that occur twice", path)
+    _check_keys(df, "source1_entity_id", "entities that occur twice", path)
     return truth_lists(df)
 
 
@@ -76,8 +89,31 @@ def result_lists(universe: DataFrame, pairs: DataFrame) -> DataFrame:
     return universe.select("s1_id").distinct().join(joined, "s1_id", "left").fillna("", ["ids"])
 
 
-def write_results(universe: DataFrame, pairs: DataFrame, path: str, kind: str = "matching") -> None:
-    """Write the lists in order of the entities, as files with tabs and one header; files sort like their rows."""
+def write_results(universe: DataFrame, pairs: DataFrame, path: str, kind: str = "matching", single: bool = False) -> None:
+    """Write the lists in order of the entities, as files with tabs and one header; files sort like their rows.
+
+    With `single`, the path is one file with one header: the parts are written by the tasks and then joined, byte by byte.
+    """
     a, b = HEADERS[kind]
-    lists = result_lists(universe, pairs).select(F.col("s1_id").alias(a), F.col("ids").alias(b))
-    lists.orderBy(a).write.mode("overwrite").csv(path, sep="\t", header=True, quote="\u0000", escapeQuotes=False, emptyValue="")
+    lists = result_lists(universe, pairs).select(F.col("s1_id").alias(a), F.col("ids").alias(b)).orderBy(a)
+    at = f"{path}.parts" if single else path
+    lists.write.mode("overwrite").csv(at, sep="\t", header=not single, quote="\u0000", escapeQuotes=False, emptyValue="")
+    if single:
+        _join_parts(universe.sparkSession, at, path, "\t".join((a, b)) + "\n")
+
+
+def _join_parts(spark: SparkSession, parts: str, path: str, header: str) -> None:
+    """One file of a header and the part files in order, which are deleted."""
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark.sparkContext._jsc.hadoopConfiguration()
+    folder, target = hadoop.fs.Path(parts), hadoop.fs.Path(path)
+    fs = folder.getFileSystem(conf)
+    if fs.exists(target):
+        fs.delete(target, True)
+    out = fs.create(target, True)
+    out.write(bytearray(header.encode()))
+    for name in sorted(s.getPath().toString() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")):
+        given = fs.open(hadoop.fs.Path(name))
+        hadoop.io.IOUtils.copyBytes(given, out, 1 << 20, False)
+        given.close()
+    out.close()
+    fs.delete(folder, True)
