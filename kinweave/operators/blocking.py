@@ -17,10 +17,10 @@ def src_of(column: str) -> F.Column:
     return F.substring(column, 1, 2)
 
 
-def postings(normed: DataFrame, min_len: int = 4) -> DataFrame:
-    """entity_id, src, token: the distinct tokens of name and address together."""
+def postings(normed: DataFrame, min_len: int = 4, *more: str) -> DataFrame:
+    """entity_id, src, token and `more`: the distinct tokens of name and address together."""
     both = F.array_union(rare_tokens(F.col("norm_name"), min_len), rare_tokens(F.col("norm_addr"), min_len))
-    return normed.select("entity_id", src_of("entity_id").alias("src"), F.explode(both).alias("token"))
+    return normed.select("entity_id", src_of("entity_id").alias("src"), F.explode(both).alias("token"), *more)
 
 
 def document_frequency(post: DataFrame) -> DataFrame:
@@ -28,10 +28,11 @@ def document_frequency(post: DataFrame) -> DataFrame:
     return post.groupBy("src", "token").agg(F.count("*").alias("df"))
 
 
-def capped(post: DataFrame, max_df: int, above: int = 0) -> DataFrame:
-    """Postings of the tokens with above < df <= max_df."""
-    kept = document_frequency(post).filter((F.col("df") <= max_df) & (F.col("df") > above)).select("src", "token")
-    return post.join(kept, ["src", "token"], "left_semi")
+def capped(post: DataFrame, max_df: int, above: int = 0, chunk: str | None = None) -> DataFrame:
+    """Postings of the tokens with above < df <= max_df; with `chunk`, a column of them, frequencies hold for each chunk."""
+    by = ["src", "token", *([chunk] if chunk else [])]
+    kept = post.groupBy(*by).agg(F.count("*").alias("df")).filter((F.col("df") <= max_df) & (F.col("df") > above)).select(*by)
+    return post.join(kept, by, "left_semi")
 
 
 def match(s1_post: DataFrame, other_post: DataFrame) -> DataFrame:
@@ -46,13 +47,14 @@ def by_rare_tokens(s1: DataFrame, other: DataFrame, min_len: int = 4) -> DataFra
     return match(postings(s1, min_len), postings(other, min_len))
 
 
-def by_tokens(s1: DataFrame, other: DataFrame, min_len: int = 4, max_df: int = 300, cap_s1: bool = False) -> DataFrame:
+def by_tokens(s1: DataFrame, other: DataFrame, min_len: int = 4, max_df: int = 300, cap_s1: bool = False, chunk: str | None = None) -> DataFrame:
     """Pairs that share a token of df <= max_df in the other source, and in the first too with cap_s1.
 
-    With cap_s1, the frame has a row for each pair and source only if the token is rare on both sides.
+    With cap_s1, the frame has a row for each pair and source only if the token is rare on both sides. chunk: a column of
+    s1 by which its frequencies are taken, for results as of runs that take S1 in chunks.
     """
-    left = postings(s1, min_len)
-    return match(capped(left, max_df) if cap_s1 else left, capped(postings(other, min_len), max_df))
+    left = postings(s1, min_len, *([chunk] if chunk else []))
+    return match(capped(left, max_df, chunk=chunk) if cap_s1 else left, capped(postings(other, min_len), max_df))
 
 
 def by_rare_band(s1: DataFrame, other: DataFrame, min_len: int = 6, max_df: int = 300, max_df_long: int = 2000) -> DataFrame:

@@ -39,7 +39,7 @@ def train_oof(labelled: DataFrame, n_splits: int = 5, estimator: Callable[[], Es
     """Out-of-fold scores and the folds' models. labelled: s1_id, other_id, label and the features.
 
     Entities are whole in one fold. A tenth of a training set's entities serves early stopping, so that the fold that
-    is scored is never looked at.
+    is scored is never looked at. The scores are persisted, and the caller's to unpersist.
     """
     ready = folds(assembled(sample_weights(labelled)), n_splits, seed).withColumn("label", F.col("label").cast("double")).withColumn("validate", F.pmod(place("s1_id", seed=seed + 7), F.lit(10)) == 0)
     ready = ready.select("s1_id", "other_id", "label", "weight", "fold", "validate", "features").persist()
@@ -48,7 +48,10 @@ def train_oof(labelled: DataFrame, n_splits: int = 5, estimator: Callable[[], Es
         model = estimator().fit(ready.filter(F.col("fold") != k))
         models.append(model)
         scored.append(_probability(model, ready.filter(F.col("fold") == k)).select("s1_id", "other_id", "label", "fold", "raw"))
-    return reduce(DataFrame.unionByName, scored), models
+    oof = reduce(DataFrame.unionByName, scored).persist()
+    oof.count()
+    ready.unpersist()
+    return oof, models
 
 
 def calibrate(oof: DataFrame) -> IsotonicRegressionModel:
@@ -85,9 +88,26 @@ def consensus(prob: Column, second: Column, mode: str = "and", threshold: float
     raise ValueError(f"unknown consensus mode {mode!r}")
 
 
+def texts_of(pairs: DataFrame) -> tuple[Column, Column]:
+    """The two sides' texts for a second scorer, `name [SEP] address`. pairs: name1, addr1, name2, addr2."""
+    side = lambda k: F.concat(F.coalesce(f"name{k}", F.lit("")), F.lit(" [SEP] "), F.coalesce(f"addr{k}", F.lit("")))
+    return side(1), side(2)
+
+
+def tuning_frame(pairs: DataFrame, labelled: DataFrame, top_k: int = 5000) -> DataFrame:
+    """text1, text2, label and kind of what a second scorer may be fine-tuned on: the pairs on which the matcher errs most.
+
+    labelled: s1_id, other_id, label, prob.
+    """
+    from .sampling import hard_negatives
+
+    hard = hard_negatives(labelled, top_k)
+    a, b = texts_of(pairs)
+    return pairs.select("s1_id", "other_id", a.alias("text1"), b.alias("text2")).join(hard.select("s1_id", "other_id", "label", "kind"), ["s1_id", "other_id"])
+
+
 def rerank(pairs: DataFrame, scored: DataFrame, scorer: Callable[[Column, Column], Column], mode: str, threshold: float, second_threshold: float) -> DataFrame:
     """Pairs that the consensus accepts. scorer takes the two sides' texts, `name [SEP] address`, and gives a score
     from 0 to 1: a pandas UDF around any model that the user brings."""
-    side = lambda k: F.concat(F.coalesce(f"name{k}", F.lit("")), F.lit(" [SEP] "), F.coalesce(f"addr{k}", F.lit("")))
-    both = pairs.withColumn("second", scorer(side(1), side(2))).select("s1_id", "other_id", "second").join(scored, ["s1_id", "other_id"])
+    both = pairs.withColumn("second", scorer(*texts_of(pairs))).select("s1_id", "other_id", "second").join(scored, ["s1_id", "other_id"])
     return both.filter(consensus(F.col("prob"), F.col("second"), mode, threshold, second_threshold)).select("s1_id", "other_id")

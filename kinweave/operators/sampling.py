@@ -11,13 +11,15 @@ def place(*columns: str | Column, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), *columns)
 
 
-def sample_sources(s1: DataFrame, s2: DataFrame, s3: DataFrame, edges: DataFrame, n: int, seed: int = 42, distractors: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """n entities of S1, and of each other source their true matches and distractors * n more records."""
-    few = s1.orderBy(place("entity_id", seed=seed), "entity_id").limit(n)
+def sample_sources(s1: DataFrame, s2: DataFrame, s3: DataFrame, edges: DataFrame, n: int, seed: int | None = 42, distractors: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """n entities of S1, and of each other source their true matches and distractors * n more records; without a seed, the
+    first by id."""
+    order = lambda k: [*([place("entity_id", seed=seed + k)] if seed is not None else []), F.col("entity_id")]
+    few = s1.orderBy(*order(0)).limit(n)
     true = edges.join(few.select(F.col("entity_id").alias("s1_id")), "s1_id", "left_semi").select(F.col("other_id").alias("entity_id")).distinct()
 
     def side(other: DataFrame) -> DataFrame:
-        more = other.join(true, "entity_id", "left_anti").orderBy(place("entity_id", seed=seed + 1), "entity_id").limit(distractors * n)
+        more = other.join(true, "entity_id", "left_anti").orderBy(*order(1)).limit(distractors * n)
         return other.join(true, "entity_id", "left_semi").unionByName(more)
 
     return few, side(s2), side(s3)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
 import time
 from dataclasses import fields
@@ -18,6 +19,15 @@ from ..sources import cache, tsv
 from . import link
 
 
+def _named(spec: str) -> object:
+    """What MODULE:NAME stands for."""
+    module, _, name = spec.partition(":")
+    try:
+        return getattr(importlib.import_module(module), name)
+    except (ImportError, AttributeError) as e:
+        raise argparse.ArgumentTypeError(f"{spec}: {e}") from e
+
+
 def _parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="kinweave")
     sub = top.add_subparsers(dest="command", required=True)
@@ -27,6 +37,9 @@ def _parser() -> argparse.ArgumentParser:
     for name in ("cache-dir", "save-model-dir", "load-model-dir"):
         p.add_argument(f"--{name}")
     p.add_argument("--validate", action="store_true")
+    p.add_argument("--single-file", action="store_true", help="one file with one header for each result")
+    for name, what in (("encoder", "text -> vector, for --use-dense"), ("scorer", "two texts -> score, for the consensus"), ("tune", "frame of hard pairs -> scorer")):
+        p.add_argument(f"--{name}", type=_named, metavar="MODULE:NAME", help=what)
     for f in fields(LinkConfig):
         flag = "--" + f.name.replace("_", "-")
         if isinstance(f.default, bool):
@@ -74,11 +87,16 @@ def bench(spark: SparkSession, what: str, folder: str, n: int, max_df: int, n_sp
 
 
 def main(argv: list[str] | None = None) -> int:
-    args = _parser().parse_args(argv)
+    parser = _parser()
+    args = parser.parse_args(argv)
+    if args.command == "link" and args.use_dense and args.encoder is None:
+        parser.error("--use-dense needs --encoder")
+    if args.command == "link" and (args.consensus_mode, args.cross_encoder_threshold) != (LinkConfig.consensus_mode, LinkConfig.cross_encoder_threshold) and not (args.scorer or args.tune):
+        parser.error("--consensus-mode and --cross-encoder-threshold need --scorer or --tune")
     spark = SparkSession.builder.appName("kinweave").getOrCreate()
     if args.command == "link":
         config = LinkConfig(**{f.name: getattr(args, f.name) for f in fields(LinkConfig)})
-        done = link.run(spark, args.data_dir, args.out_dir, config, args.cache_dir, args.save_model_dir, args.load_model_dir, args.validate)
+        done = link.run(spark, args.data_dir, args.out_dir, config, args.cache_dir, args.save_model_dir, args.load_model_dir, args.validate, scorer=args.scorer, encoder=args.encoder, tune=args.tune, single=args.single_file)
         print(f"recall {done.recall:.4f}, threshold {done.threshold:.3f}, out-of-fold macro F0.5 {done.score:.4f}")
         return 0
     if args.command == "audit":

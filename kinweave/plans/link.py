@@ -5,6 +5,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.base import Estimator
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,15 +16,40 @@ from ..functions.similarity import FEATURES, feature_frame
 from ..operators import blocking, matcher, metrics, sampling, topk
 
 
+#: Any model that the user brings, around columns: text -> vector, and two texts -> a score from 0 to 1.
+Encoder = Callable[[Column], Column]
+Scorer = Callable[[Column, Column], Column]
+
+
 @dataclass
 class Trained:
-    """Models of a run, their calibrator and threshold, and the out-of-fold score at it."""
+    """Models of a run, their calibrator and threshold, the out-of-fold score at it, and a second scorer if it was tuned."""
 
     models: list
     iso: object
     threshold: float
     score: float
     recall: float
+    scorer: Scorer | None = None
+
+
+def together(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
+def encoded(normed: DataFrame, encoder: Encoder) -> DataFrame:
+    """id and vector of every record, by the user's encoder of name and address."""
+    text = F.concat(F.coalesce("norm_name", F.lit("")), F.lit(" "), F.coalesce("norm_addr", F.lit("")))
+    return normed.select(F.col("entity_id").alias("id"), encoder(text).alias("vector"))
+
+
+def vectors_of(s1: DataFrame, others: list[DataFrame], config: LinkConfig, encoder: Encoder | None) -> tuple[DataFrame, DataFrame] | None:
+    """Vectors of S1 and of all other sources together, if the settings ask for the dense channel."""
+    if not config.use_dense:
+        return None
+    if encoder is None:
+        raise ValueError("use_dense needs an encoder")
+    return encoded(s1, encoder), together([encoded(o, encoder) for o in others])
 
 
 def candidates(s1: DataFrame, others: list[DataFrame], config: LinkConfig, vectors: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -50,15 +76,18 @@ def candidates(s1: DataFrame, others: list[DataFrame], config: LinkConfig, vecto
 
 def features(cands: DataFrame, s1: DataFrame, others: list[DataFrame]) -> DataFrame:
     """Feature frame of candidates; others is the list of other sources."""
-    other = others[0]
-    for o in others[1:]:
-        other = other.unionByName(o)
-    return feature_frame(blocking.pair_frame(cands, s1, other))
+    return feature_frame(blocking.pair_frame(cands, s1, together(others)))
+
 
+def train(
+    s1: DataFrame, others: list[DataFrame], edges: DataFrame, universe: DataFrame, config: LinkConfig, estimator: Callable[[], Estimator] | None = None,
+    encoder: Encoder | None = None, tune: Callable[[DataFrame], Scorer] | None = None,
+) -> Trained:
+    """Fit the fold models, the calibrator and the threshold. Warns if candidates have less recall than config.min_recall.
 
-def train(s1: DataFrame, others: list[DataFrame], edges: DataFrame, universe: DataFrame, config: LinkConfig, estimator: Callable[[], Estimator] | None = None) -> Trained:
-    """Fit the fold models, the calibrator and the threshold. Warns if candidates have less recall than config.min_recall."""
-    cands = candidates(s1, others, config).persist()
+    tune gets text1, text2, label and kind of the pairs on which the matcher errs most, and gives a second scorer.
+    """
+    cands = candidates(s1, others, config, vectors_of(s1, others, config, encoder)).persist()
     recall = metrics.candidate_recall(edges, cands).first()["recall"]
     if recall < config.min_recall:
         warnings.warn(f"candidate recall {recall:.4f} is below {config.min_recall:.4f}", stacklevel=2)
@@ -66,30 +95,34 @@ def train(s1: DataFrame, others: list[DataFrame], edges: DataFrame, universe: Da
     labelled = sampling.subsample_negatives(labelled, config.neg_per_pos_cap, config.seed)
     make = estimator or (lambda: matcher.boosting(config.max_iter, config.step_size, config.max_depth, config.seed))
     oof, models = matcher.train_oof(labelled, config.n_splits, make, config.seed)
-    oof = oof.persist()
     iso = matcher.calibrate(oof)
-    scored = matcher.apply_calibration(oof, iso).select("s1_id", "other_id", "prob")
-    t, score = metrics.best_threshold(metrics.threshold_sweep(universe, edges, scored))
+    scored = matcher.apply_calibration(oof, iso).select("s1_id", "other_id", "label", "prob")
+    t, score = metrics.best_threshold(metrics.threshold_sweep(universe, edges, scored.drop("label")))
+    scorer = tune(matcher.tuning_frame(blocking.pair_frame(cands, s1, together(others)), scored)) if tune else None
     oof.unpersist()
     cands.unpersist()
-    return Trained(models, iso, t, score, recall)
+    return Trained(models, iso, t, score, recall, scorer)
 
 
-def infer(s1: DataFrame, others: list[DataFrame], trained: Trained, config: LinkConfig, scorer: Callable[[Column, Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+def infer(s1: DataFrame, others: list[DataFrame], trained: Trained, config: LinkConfig, scorer: Scorer | None = None, encoder: Encoder | None = None) -> tuple[DataFrame, DataFrame]:
     """Candidates and matches. With a scorer, pairs count if matcher and scorer agree as the settings say."""
-    cands = candidates(s1, others, config)
+    cands = candidates(s1, others, config, vectors_of(s1, others, config, encoder))
     scored = matcher.predict(features(cands, s1, others), trained.models, trained.iso)
+    scorer = scorer or trained.scorer
     if scorer is None:
         return cands, matcher.at_threshold(scored, trained.threshold)
-    other = others[0]
-    for o in others[1:]:
-        other = other.unionByName(o)
-    pairs = blocking.pair_frame(cands, s1, other)
+    pairs = blocking.pair_frame(cands, s1, together(others))
     return cands, matcher.rerank(pairs, scored, scorer, config.consensus_mode, trained.threshold, config.cross_encoder_threshold)
 
 
-def run(spark: SparkSession, data_dir: str, out_dir: str, config: LinkConfig, cache_dir: str | None = None, save_dir: str | None = None, load_dir: str | None = None, validate: bool = False, estimator: Callable[[], Estimator] | None = None) -> Trained:
-    """Read the files of data_dir, train (or load a model), match the test sources and write both result files."""
+def run(
+    spark: SparkSession, data_dir: str, out_dir: str, config: LinkConfig, cache_dir: str | None = None, save_dir: str | None = None, load_dir: str | None = None, validate: bool = False,
+    estimator: Callable[[], Estimator] | None = None, scorer: Scorer | None = None, encoder: Encoder | None = None, tune: Callable[[DataFrame], Scorer] | None = None, single: bool = False,
+) -> Trained:
+    """Read the files of data_dir, train (or load a model), match the test sources and write both result files.
+
+    encoder serves the dense channel; scorer, or the one that tune makes, reranks. With `single`, results are one file each.
+    """
     from ..functions.normalize import add_norm_columns
     from ..operators import validate as rules
     from ..sources import cache, tsv
@@ -112,16 +145,19 @@ def run(spark: SparkSession, data_dir: str, out_dir: str, config: LinkConfig, ca
             s1, s2, s3 = sampling.sample_sources(s1, s2, s3, edges, config.sample_s1, config.seed)
         universe = s1.select(F.col("entity_id").alias("s1_id"))
         edges = edges.join(universe, "s1_id", "left_semi")
-        trained = train(s1, [s2, s3], edges, universe, config, estimator)
+        trained = train(s1, [s2, s3], edges, universe, config, estimator, encoder, tune)
         if save_dir:
             cache.save_model(spark, save_dir, trained.models, trained.iso, trained.threshold, trained.score, list(FEATURES))
     s1, s2, s3 = (frames[f"test_source{k}"] for k in (1, 2, 3))
-    cands, matches = infer(s1, [s2, s3], trained, config)
+    cands, matches = infer(s1, [s2, s3], trained, config, scorer, encoder)
+    cands = cands.persist()  # both results are made of them
     universe = s1.select(F.col("entity_id").alias("s1_id"))
-    tsv.write_results(universe, matches, f"{out_dir}/matching_results", "matching")
-    tsv.write_results(universe, cands, f"{out_dir}/candidate_pairs", "candidate")
+    files = [f"{out_dir}/{name}{'.tsv' if single else ''}" for name in ("matching_results", "candidate_pairs")]
+    tsv.write_results(universe, matches, files[0], "matching", single)
+    tsv.write_results(universe, cands, files[1], "candidate", single)
+    cands.unpersist()
     if validate:
-        rules.require(validate_outputs(spark, f"{out_dir}/matching_results", f"{out_dir}/candidate_pairs", universe, None))
+        rules.require(validate_outputs(spark, *files, universe, None))
     return trained
 
 

@@ -96,27 +96,27 @@ def _finding(bad: str, column: str, rule: str, severity: str = "error") -> str:
 
 
 def _tfidf(grams: str) -> str:
-    """Top 15 by cosine. grams: a subquery of entity_id, src, gram, n."""
+    """Top 15 by cosine in each other source. grams: a subquery of entity_id, src, gram, n."""
     parts = {
         "g": grams,
-        "n_ref": "SELECT count(DISTINCT entity_id) AS n_ref FROM g WHERE src = 'S2'",
-        "idf": "SELECT gram, ln((1e0 + any_value(n_ref)) / (1e0 + count(*))) + 1e0 AS idf FROM g, n_ref WHERE src = 'S2' GROUP BY gram",
-        "raw": "SELECT entity_id, src, gram, (1e0 + ln(n)) * idf AS raw FROM g JOIN idf USING (gram)",
-        "norms": "SELECT entity_id, sqrt(sum(raw * raw)) AS norm FROM raw GROUP BY 1",
-        "w": "SELECT entity_id, src, gram, raw / norm AS w FROM raw JOIN norms USING (entity_id)",
-        "sims": "SELECT a.entity_id AS s1_id, b.entity_id AS other_id, round(sum(a.w * b.w), 9) AS sim FROM w a JOIN w b USING (gram) WHERE a.src = 'S1' AND b.src = 'S2' GROUP BY ALL",
+        "n_ref": "SELECT src AS ref, count(DISTINCT entity_id) AS n_ref FROM g WHERE src <> 'S1' GROUP BY 1",
+        "idf": "SELECT ref, gram, ln((1e0 + any_value(n_ref)) / (1e0 + count(*))) + 1e0 AS idf FROM g JOIN n_ref ON src = ref GROUP BY ref, gram",
+        "raw": "SELECT entity_id, src, ref, gram, (1e0 + ln(n)) * idf AS raw FROM g JOIN idf USING (gram) WHERE src = 'S1' OR src = ref",
+        "norms": "SELECT entity_id, ref, sqrt(sum(raw * raw)) AS norm FROM raw GROUP BY 1, 2",
+        "w": "SELECT entity_id, src, ref, gram, raw / norm AS w FROM raw JOIN norms USING (entity_id, ref)",
+        "sims": "SELECT a.entity_id AS s1_id, b.entity_id AS other_id, ref, round(sum(a.w * b.w), 9) AS sim FROM w a JOIN w b USING (gram, ref) WHERE a.src = 'S1' AND b.src = ref GROUP BY ALL",
     }
-    return _with("SELECT s1_id, other_id, sim, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY sim DESC, other_id) AS r FROM sims WHERE sim > 0) WHERE r <= 15", parts)
+    return _with("SELECT s1_id, other_id, sim, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY s1_id, ref ORDER BY sim DESC, other_id) AS r FROM sims WHERE sim > 0) WHERE r <= 15", parts)
 
 
 _TEXT = "norm_name || ' ' || norm_name || ' ' || norm_addr"
 _WORD_GRAMS = (
     "SELECT entity_id, src, gram, count(*) AS n FROM (SELECT entity_id, src, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram "
-    f"FROM (SELECT entity_id, src, list_filter(string_split({_TEXT}, ' '), lambda t: length(t) >= 2) AS w FROM normed WHERE src <> 'S3')) GROUP BY ALL"
+    f"FROM (SELECT entity_id, src, list_filter(string_split({_TEXT}, ' '), lambda t: length(t) >= 2) AS w FROM normed)) GROUP BY ALL"
 )
 _CHAR_GRAMS = (
     "SELECT entity_id, src, gram, count(*) AS n FROM (SELECT entity_id, src, unnest(flatten(list_transform([2, 3, 4], lambda k: list_transform(range(1, length(t) - k + 2), lambda i: substr(t, i, k))))) AS gram "
-    f"FROM (SELECT entity_id, src, ' ' || t || ' ' AS t FROM (SELECT entity_id, src, unnest(list_filter(string_split({_TEXT}, ' '), lambda t: t <> '')) AS t FROM normed WHERE src <> 'S3'))) GROUP BY ALL"
+    f"FROM (SELECT entity_id, src, ' ' || t || ' ' AS t FROM (SELECT entity_id, src, unnest(list_filter(string_split({_TEXT}, ' '), lambda t: t <> '')) AS t FROM normed))) GROUP BY ALL"
 )
 
 
@@ -124,6 +124,19 @@ def _bigrams(x: str) -> str:
     return f"list_distinct(list_transform(range(1, greatest(length({x}), 1)), lambda i: substr({x}, i, 2)))"
 
 
+def _sorted_words(x: str) -> str:
+    return f"coalesce(array_to_string(list_sort(list_filter(string_split({x}, ' '), lambda t: t <> '')), ' '), '')"
+
+
+def _indel(a: str, b: str) -> str:
+    """2 LCS / (|a| + |b|): bits of a whole number stand for the places of a, and fall where b makes the subsequence longer."""
+    bit = "CASE WHEN substr(a, i + 1, 1) = c THEN (1::HUGEINT << i) ELSE 0::HUGEINT END"
+    mask = f"list_reduce(list_transform(range(length(a)), lambda i: {bit}), lambda p, q: p | q, 0::HUGEINT)"
+    step = "(((v + (v & m)) | (v - (v & m))) & ((1::HUGEINT << length(a)) - 1))"
+    left = f"list_reduce(list_transform(range(length(b)), lambda j: list_extract(list_transform([substr(b, j + 1, 1)], lambda c: {mask}), 1)), lambda v, m: {step}, (1::HUGEINT << length(a)) - 1)"
+    return f"(SELECT CASE WHEN a = '' AND b = '' THEN 1e0 WHEN a = '' OR b = '' THEN 0e0 ELSE round(2 * (length(a) - bit_count({left})) / (length(a) + length(b))::DOUBLE, 9) END FROM (SELECT {a} AS a, {b} AS b))"
+
+
 def _rare(k: int) -> str:
     return f"list_distinct(list_filter(tn{k} || ta{k}, lambda t: length(t) >= 4))"
 
@@ -134,6 +147,11 @@ def _sorted_edges(pairs: str) -> str:
 
 _PROPER = "(starts_with(other_id, 'S2-') OR starts_with(other_id, 'S3-'))"
 
+_DENSE = (
+    "WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS ref_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1) "
+    "SELECT query_id, ref_id, score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ref_id) AS r FROM s) WHERE r <= 50 AND score > 0.3"
+)
+
 SQL: dict[str, str] = {
     "normalize_name": _with("SELECT entity_id, norm_name FROM normed"),
     "normalize_address": _with("SELECT entity_id, norm_addr FROM normed"),
@@ -154,10 +172,9 @@ SQL: dict[str, str] = {
     "pair_frame": _with("SELECT * FROM pairs"),
     "topk_word_tfidf": _tfidf(_WORD_GRAMS),
     "topk_char_tfidf": _tfidf(_CHAR_GRAMS),
-    "dense_topk": (
-        "WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS ref_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1) "
-        "SELECT query_id, ref_id, score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ref_id) AS r FROM s) WHERE r <= 50 AND score > 0.3"
-    ),
+    "dense_topk": _DENSE,
+    "dense_topk_every_cell": _DENSE,
+    "feat_indel_names": _with(f"SELECT s1_id, other_id, {_indel('name1', 'name2')} AS name_levenshtein_ratio, {_indel(_sorted_words('name1'), _sorted_words('name2'))} AS name_token_sort_ratio FROM pairs"),
     "feat_jaccard": _with("SELECT s1_id, other_id, round(jn, 9) AS name_jaccard, round(ja, 9) AS addr_jaccard FROM jac"),
     "feat_bigram": _with(
         "SELECT s1_id, other_id, round(CASE WHEN len(x) + len(y) = 0 THEN 1e0 ELSE len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y)))::DOUBLE END, 9) AS name_char_bigram_jaccard "
@@ -224,6 +241,10 @@ SQL: dict[str, str] = {
     "subsample_negatives": _with(
         "SELECT s1_id, other_id, label FROM (SELECT *, row_number() OVER (PARTITION BY s1_id, label ORDER BY other_id) AS r, sum(label) OVER (PARTITION BY s1_id) AS np FROM labelled) WHERE label = 1 OR r <= greatest(3 * greatest(np, 1), 5)"
     ),
+    "sample_sources_by_id": _with(
+        "SELECT entity_id FROM few UNION ALL " + " UNION ALL ".join(f"SELECT entity_id FROM src{k} WHERE entity_id IN (SELECT * FROM mine) UNION ALL SELECT entity_id FROM (SELECT entity_id FROM src{k} WHERE entity_id NOT IN (SELECT * FROM mine) ORDER BY 1 LIMIT 150)" for k in (2, 3)),
+        {"few": "SELECT entity_id FROM src1 ORDER BY 1 LIMIT 50", "mine": "SELECT other_id FROM edges WHERE s1_id IN (SELECT entity_id FROM few)"},
+    ),
     "grouped_folds": _with("SELECT DISTINCT s1_id, CAST(1 AS BIGINT) AS n_folds FROM cands"),
     "threshold_sweep": _with(
         "SELECT round(t, 9) AS t, round(avg(CASE WHEN n_true = 0 AND n_pred = 0 THEN 1e0 WHEN hits = 0 THEN 0e0 ELSE 1.25e0 * hits / (0.25e0 * n_true + n_pred) END), 9) AS macro_f FROM counted GROUP BY t",

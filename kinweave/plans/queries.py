@@ -46,9 +46,11 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     """A deterministic score: mean Jaccard of names' and addresses' words."""
-    p = _pairs(spark, d)
-    mean = (set_jaccard(tokens(F.col("name1")), tokens(F.col("name2"))) + set_jaccard(tokens(F.col("addr1")), tokens(F.col("addr2")))) / 2
-    return p.select("s1_id", "other_id", F.round(mean, 9).alias("prob"))
+    return _pairs(spark, d).select("s1_id", "other_id", _mean_jaccard().alias("prob"))
+
+
+def _mean_jaccard() -> F.Column:
+    return F.round((set_jaccard(tokens(F.col("name1")), tokens(F.col("name2"))) + set_jaccard(tokens(F.col("addr1")), tokens(F.col("addr2")))) / 2, 9)
 
 
 def _predicted(spark: SparkSession, d: str) -> DataFrame:
@@ -128,14 +130,12 @@ def pair_frame(spark, d):
 
 @query
 def topk_word_tfidf(spark, d):
-    s1, s2, _ = fixtures.normed(spark, d)
-    return topk.tfidf_topk(topk.word_grams(s1), topk.word_grams(s2))
+    return _over_others(spark, d, lambda a, b: topk.tfidf_topk(topk.word_grams(a), topk.word_grams(b)))
 
 
 @query
 def topk_char_tfidf(spark, d):
-    s1, s2, _ = fixtures.normed(spark, d)
-    return topk.tfidf_topk(topk.char_grams(s1), topk.char_grams(s2))
+    return _over_others(spark, d, lambda a, b: topk.tfidf_topk(topk.char_grams(a), topk.char_grams(b)))
 
 
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -153,6 +153,12 @@ def dense_topk_cells(spark, d):
     return topk.dense_topk_cells(*_vectors(spark, d))
 
 
+@query
+def dense_topk_every_cell(spark, d):
+    """With as many probes as cells, cells give the exact result."""
+    return topk.dense_topk_cells(*_vectors(spark, d), probes=4096, digits=9)
+
+
 def _features(*names: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         return relational_features(_pairs(spark, d)).select("s1_id", "other_id", *[F.round(n, 9).alias(n) for n in names])
@@ -176,6 +182,12 @@ def feat_edit(spark, d):
     return edit_features(_pairs(spark, d)).select("s1_id", "other_id", *names)
 
 
+@query
+def feat_indel_names(spark, d):
+    """The part of feat_edit that SQL can express."""
+    return feat_edit(spark, d).select("s1_id", "other_id", *[F.round(n, 9).alias(n) for n in ("name_levenshtein_ratio", "name_token_sort_ratio")])
+
+
 @query
 def candidate_recall(spark, d):
     return metrics.candidate_recall(fixtures.truth(spark, d)[0], _candidates(spark, d)).withColumn("recall", F.round("recall", 9))
@@ -240,7 +252,8 @@ def audit_multi_owned(spark, d):
 @query
 def run_summary(spark, d):
     edges, universe = fixtures.truth(spark, d)
-    return audit.run_summary(universe, edges, _candidates(spark, d), _predicted(spark, d))
+    scored = _scored(spark, d)
+    return audit.run_summary(universe, edges, scored, matcher.at_threshold(scored, 0.6))
 
 
 def _damaged_edges(edges: DataFrame) -> DataFrame:
@@ -328,6 +341,12 @@ def sample_sources(spark, d):
     return reduce(DataFrame.unionByName, sampling.sample_sources(s1, s2, s3, fixtures.truth(spark, d)[0], 50)).select("entity_id")
 
 
+@query
+def sample_sources_by_id(spark, d):
+    s1, s2, s3 = fixtures.sources(spark, d)
+    return reduce(DataFrame.unionByName, sampling.sample_sources(s1, s2, s3, fixtures.truth(spark, d)[0], 50, seed=None)).select("entity_id")
+
+
 @query
 def threshold_sweep(spark, d):
     edges, universe = fixtures.truth(spark, d)
@@ -336,8 +355,8 @@ def threshold_sweep(spark, d):
 
 def _consensus(mode: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        second = relational_features(_pairs(spark, d)).select("s1_id", "other_id", F.round("name_jaccard", 9).alias("second"))
-        both = _scored(spark, d).join(second, ["s1_id", "other_id"])
+        names = set_jaccard(tokens(F.col("name1")), tokens(F.col("name2")))
+        both = _pairs(spark, d).select("s1_id", "other_id", _mean_jaccard().alias("prob"), F.round(names, 9).alias("second"))
         return both.filter(matcher.consensus(F.col("prob"), F.col("second"), mode, 0.6, 0.7)).select("s1_id", "other_id")
 
     return run

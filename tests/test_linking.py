@@ -251,3 +251,112 @@ def test_warns_of_low_recall(data, monkeypatch):
     with warnings.catch_warnings(), pytest.raises(Stop):
         warnings.simplefilter("error", UserWarning)
         link.train(s1, [s2, s3], edges, universe, LinkConfig(min_recall=0.0))
+
+
+def small_vectors(text):
+    """A toy encoder: counts of letters, as a unit vector."""
+    import numpy as np
+    import pandas as pd
+
+    @F.pandas_udf("array<double>")
+    def encode(t: pd.Series) -> pd.Series:
+        rows = [np.bincount([ord(c) % 32 for c in x] or [0], minlength=32).astype(float) for x in t]
+        return pd.Series([list(r / max(1e-9, np.linalg.norm(r))) for r in rows])
+
+    return encode(text)
+
+
+def equal_texts(a, b):
+    return F.when(F.levenshtein(a, b) <= 12, F.lit(1.0)).otherwise(0.0)
+
+
+def test_run_with_boosting_encoder_and_tuned_scorer(spark, folder, tmp_path):
+    seen = []
+
+    def tune(frame):
+        seen.append({r["kind"] for r in frame.select("text1", "text2", "label", "kind").collect()})
+        return equal_texts
+
+    config = LinkConfig(n_splits=2, max_df=30, max_cands_per_entity=10, use_dense=True, dense_top_k=5, max_iter=4, max_depth=3, consensus_mode="or")
+    with pytest.raises(ValueError, match="encoder"):
+        link.run(spark, folder, str(tmp_path / "out"), config)
+    done = link.run(spark, folder, str(tmp_path / "out"), config, validate=True, encoder=small_vectors, tune=tune, single=True)
+    assert done.score > 0.5 and done.recall > 0.9 and len(seen) == 1 and seen[0] <= {"false_positive", "false_negative"}
+    lines = (tmp_path / "out" / "matching_results.tsv").read_text().split("\n")
+    assert lines[0] == "\t".join(tsv.HEADERS["matching"]) and len(lines) == 202 and lines[-1] == "" and lines[1:-1] == sorted(lines[1:-1])
+    # with the scorer as the other half of `or`, equal texts are matched whatever the matcher says
+    alone = link.run(spark, folder, str(tmp_path / "alone"), config, encoder=small_vectors, single=True)
+    count = lambda name: sum(x.count("S2-") + x.count("S3-") for x in (tmp_path / name / "matching_results.tsv").read_text().split("\n"))
+    assert alone.threshold == done.threshold and count("out") >= count("alone")
+
+
+def test_command_line_refuses_what_would_do_nothing(folder, tmp_path, capsys):
+    from kinweave.plans import cli
+
+    for more in (["--use-dense"], ["--consensus-mode", "or"], ["--cross-encoder-threshold", "0.5"], ["--encoder", "no.such:thing"]):
+        with pytest.raises(SystemExit):
+            cli.main(["link", "--data-dir", folder, "--out-dir", str(tmp_path), *more])
+
+
+def test_files_are_split_unless_line_breaks_are_quoted(spark, tmp_path):
+    head = list(tsv.REQUIRED)
+    rows = [[f"S1-{k}", f'5" pipe "{k}"' if k == 3 else f"name {k}", "street", "us"] for k in range(4000)]
+    plain = write_tsv(tmp_path / "p.tsv", head, [r for r in rows if '"' not in r[1]])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert tsv.load_source(spark, plain, "S1-").rdd.getNumPartitions() > 3
+        broken = write_tsv(tmp_path / "b.tsv", head, [*rows[:2], ["S1-9", '"two\nlines"', "x", ""]])
+        assert tsv.load_source(spark, broken, "S1-").count() == 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_bad_bytes_are_a_finding(spark, tmp_path):
+    required = spark.createDataFrame([("S1-1",), ("S1-2",)], "s1_id string")
+    path = tmp_path / "m.tsv"
+    path.write_bytes("\t".join(tsv.HEADERS["matching"]).encode() + b"\nS1-1\tS2-1\nS1-2\tS2-\xff\xfe\n")
+    assert "format:not_utf8" in [r["rule"] for r in link.validate_outputs(spark, str(path), None, required, None).collect()]
+
+
+def test_report_counts_and_examples(spark):
+    bad = spark.createDataFrame([(f"x{k % 40:02}",) for k in range(200)] + [(None,)], "id string").repartition(5)
+    assert [tuple(r) for r in validate.finding(bad, "id", "r").collect()] == [("error", "r", 201, "x00,x01,x02,x03,x04")]
+    assert validate.finding(bad.limit(0), "id", "r").count() == 0
+
+
+def test_cells_of_few_vectors(spark):
+    one = spark.createDataFrame([(1, [1.0, 0.0])], "id long, vector array<double>")
+    none = one.limit(0)
+    assert topk.dense_topk_cells(one, none).count() == 0 and topk.dense_topk_cells(none, one).count() == 0
+    assert [tuple(r) for r in topk.dense_topk_cells(one, one).collect()] == [(1, 1, 1.0, 1)]
+    same = spark.createDataFrame([(k, [1.0, 0.0]) for k in range(9)], "id long, vector array<double>")
+    assert [r["ref_id"] for r in topk.dense_topk_cells(one, same, 3).orderBy("rank").collect()] == [0, 1, 2]
+
+
+def test_sparse_products_in_small_pieces(spark, data, monkeypatch):
+    s1, s2, *_ = data
+    run = lambda: sorted(map(tuple, topk.tfidf_topk(topk.word_grams(s1), topk.word_grams(s2), 4).collect()))
+    whole = run()
+    for name, value in (("SPARSE_QUERIES", 30), ("SPARSE_REFS", 17), ("SPARSE_CELLS", 50)):
+        monkeypatch.setattr(topk, name, value)
+    assert run() == whole
+    assert topk.tfidf_topk(topk.word_grams(s1), topk.word_grams(s2.limit(0))).count() == 0
+
+
+def test_seeded_negatives_follow_the_hash(spark):
+    rows = [("a", f"n{k}", 0) for k in range(40)] + [("b", "p", 1)] + [("b", f"n{k}", 0) for k in range(40)]
+    labelled = spark.createDataFrame(rows, "s1_id string, other_id string, label int")
+    order = {r["other_id"]: r["h"] for r in labelled.select("other_id", sampling.place("other_id", seed=7).alias("h")).collect()}
+    got = {}
+    for r in sampling.subsample_negatives(labelled.repartition(3), 6, seed=7).filter("label = 0").collect():
+        got.setdefault(r["s1_id"], set()).add(r["other_id"])
+    first = sorted((f"n{k}" for k in range(40)), key=order.get)[:6]
+    assert got == {"a": set(first), "b": set(first)}
+
+
+def test_token_caps_by_chunk(spark, data):
+    s1, s2, *_ = data
+    chunked = blocking.chunks(s1, 50)
+    slices = [pairs_of(blocking.by_tokens(chunked.filter(F.col("chunk_id") == k), s2, max_df=20, cap_s1=True)) for k in range(4)]
+    assert pairs_of(blocking.by_tokens(chunked, s2, max_df=20, cap_s1=True, chunk="chunk_id")) == set().union(*slices)
