@@ -6,15 +6,17 @@ A byte goes if some window of WIDTH bytes that covers it also starts in a docume
    windows meet. Consecutive windows with one anchor form a piece of text, which moves as a whole.
 2. Anchors seen in one document only are left out early: shards exchange sorted anchor lists by hash range, and only
    pieces with an anchor that several documents have go on. A shard sends each distinct piece once.
-3. The pieces of a bucket of anchors make up one or more suffix arrays of bounded size. Suffixes are sorted by
-   Larsson-Sadakane refinement (groups of equal prefixes are refined by doubling, singletons are left alone), Kasai's
-   recurrence gives common prefixes, and runs of common prefixes of WIDTH or more are equal windows. Several arrays of
-   one bucket are merged by binary search of the windows of one in those of the next.
+3. The pieces of a bucket of anchors make up suffix arrays of bounded size, each of a few shards' pieces. Suffixes are
+   sorted by Larsson-Sadakane refinement (groups of equal prefixes are refined by doubling, singletons are left alone),
+   Kasai's recurrence gives common prefixes, and runs of common prefixes of WIDTH or more are equal windows. The arrays of
+   different shards are merged by binary search of the windows of one in those of the others.
 4. Each piece learns the smallest document id for each of its windows; shards then look up their documents' pieces.
 
 The texts are shuffled once, by shard, and that exchange serves all three passes over them. Nulls count as empty;
 texts shorter than WIDTH bytes lose nothing. Rows with a null id neither remove nor lose anything. Rows repeated under
-one id don't remove each other. An empty table gives an empty result. Only the named columns are read.
+one id don't remove each other. Very long texts are worked on in stretches that overlap by a window; besides its bytes, a
+flag for each byte is held of a text. Equal strings have no order among them but their documents' ids. An empty table
+gives an empty result. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -39,9 +41,9 @@ CHUNK_BYTES = 1 << 18
 #: Anchors of a hash range, and buckets of pieces for each shard.
 RANGE_ANCHORS = 400_000
 BUCKETS_PER_SHARD = 4
-#: Pieces of a bucket are sorted in parts of about PART_BYTES, by anchor, so that the arrays fit in a processor's cache;
-#: a part beyond ARRAY_BYTES makes several arrays.
-PART_BYTES, ARRAY_BYTES = 1 << 20, 6 << 20
+#: Pieces of a bucket are sorted in parts of about PART_BYTES, by anchor; a part's pieces make arrays of ARRAY_BYTES, in the
+#: order of their shards, that fit in a processor's cache.
+PART_BYTES, ARRAY_BYTES = 1 << 20, 1 << 19
 PARTS = 256
 
 _U = np.uint64
@@ -144,19 +146,25 @@ def _inverse_powers(n: int) -> np.ndarray:
     return _table(pow(int(_P), -1, 1 << 64), _HELD, n)
 
 
-def stretches(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Documents of a shard in stretches of about CHUNK_BYTES: bytes, ends and row numbers."""
-    held, rows, size = [], [], 0
+def stretches(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Documents of a shard in stretches of about CHUNK_BYTES: bytes, ends, row numbers and places in the documents.
+
+    A longer document comes in parts, each with the first WIDTH - 1 bytes of the next, so that every window is in one part.
+    """
+    held, rows, at, size = [], [], [], 0
     for row, text in enumerate(frame["text"]):
         raw = (text if isinstance(text, str) else "").encode("utf-8", "surrogatepass")
-        held.append(raw)
-        rows.append(row)
-        size += len(raw)
-        if size >= CHUNK_BYTES:
-            yield np.frombuffer(b"".join(held), np.uint8), np.cumsum([len(x) for x in held]), np.array(rows)
-            held, rows, size = [], [], 0
+        for start in range(0, max(1, len(raw) - WIDTH + 1), CHUNK_BYTES):
+            part = raw[start : start + CHUNK_BYTES + WIDTH - 1]
+            held.append(part)
+            rows.append(row)
+            at.append(start)
+            size += len(part)
+            if size >= CHUNK_BYTES:
+                yield np.frombuffer(b"".join(held), np.uint8), np.cumsum([len(x) for x in held]), np.array(rows), np.array(at)
+                held, rows, at, size = [], [], [], 0
     if held:
-        yield np.frombuffer(b"".join(held), np.uint8), np.cumsum([len(x) for x in held]), np.array(rows)
+        yield np.frombuffer(b"".join(held), np.uint8), np.cumsum([len(x) for x in held]), np.array(rows), np.array(at)
 
 
 def _with_id(frame: pd.DataFrame) -> pd.DataFrame:
@@ -251,8 +259,8 @@ class WindowArray:
     def __init__(self, text: np.ndarray, start: np.ndarray, windows: np.ndarray, low: np.ndarray) -> None:
         size = windows + WIDTH - 1
         room = np.repeat(start + size, size) - np.arange(len(text))
-        self.words = words_at(text)
-        rank = suffix_ranks(self.words, room)
+        self.text, words = text, words_at(text)
+        rank = suffix_ranks(words, room)
         pos = np.repeat(start, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
         of = rank[pos]
         by = np.argsort(of)
@@ -261,7 +269,7 @@ class WindowArray:
         place[order] = np.arange(len(order))
         tied = np.zeros(len(text), bool)
         tied[order[1:]] = of[1:] == of[:-1]
-        lcp = kasai(text, self.words, order, place, tied, start, windows)
+        lcp = kasai(text, words, order, place, tied, start, windows)
         head = lcp < WIDTH
         head[:1] = True
         firsts = np.flatnonzero(head)
@@ -271,48 +279,39 @@ class WindowArray:
         self.first = order[firsts]
 
     def keys(self) -> np.ndarray:
-        """The distinct windows in order, as rows of words; the last word overlaps the one before."""
-        return np.stack([self.words[self.first + k] for k in (*range(0, WIDTH - 7, 8), WIDTH - 8)], 1)
+        """The distinct windows in order, as strings; a last byte keeps zeros at their ends from being cut off."""
+        out = np.ones((len(self.first), WIDTH + 1), np.uint8)
+        out[:, :WIDTH] = self.text[self.first[:, None] + np.arange(WIDTH)]
+        return out.view(f"S{WIDTH + 1}").ravel()
 
     def merge(self, other: WindowArray) -> None:
         """Take over smaller ids of equal windows of the other array, and give it ours: by binary search."""
-        at = _search(other.keys(), self.keys())
-        hit = np.flatnonzero(at >= 0)
+        ours, theirs = self.keys(), other.keys()
+        if not len(ours) or not len(theirs):
+            return
+        at = np.minimum(np.searchsorted(theirs, ours), len(theirs) - 1)
+        hit = np.flatnonzero(theirs[at] == ours)
         both = np.minimum(self.low[hit], other.low[at[hit]])
         self.low[hit] = both
         other.low[at[hit]] = both
 
 
-def _search(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Index in `keys` (sorted rows) of each wanted row, or -1: one binary search for all, step by step."""
-    low, high = np.zeros(len(wanted), np.int64), np.full(len(wanted), len(keys), np.int64)
-    while len(keys) and (live := np.flatnonzero(low < high)).size:
-        mid = (low[live] + high[live]) // 2
-        less = np.zeros(len(live), bool)
-        open_ = np.ones(len(live), bool)
-        for w in range(keys.shape[1]):
-            a, b = keys[mid, w], wanted[live, w]
-            less |= open_ & (a < b)
-            open_ &= a == b
-        low[live] = np.where(less, mid + 1, low[live])
-        high[live] = np.where(less, high[live], mid)
-    at = np.minimum(low, max(0, len(keys) - 1))
-    return np.where((keys[at] == wanted).all(1), at, -1) if len(keys) else np.full(len(wanted), -1)
-
-
 # --- the passes ------------------------------------------------------------------------------------------------------
 
 
 def _smallest(text: np.ndarray, start: np.ndarray, windows: np.ndarray, content: np.ndarray, low: np.ndarray, high: np.ndarray, shard: np.ndarray, array_bytes: int) -> list[tuple]:
     """The runs of `smallest` for some of a bucket's pieces: shard, contents, first and last windows, smallest ids."""
     size = windows + WIDTH - 1
-    by = np.argsort(content, kind="stable")
+    by = np.lexsort((shard, content))
     firsts = np.flatnonzero(np.concatenate(([True], content[by][1:] != content[by][:-1])))
     one = by[firsts]
-    lowest = np.minimum.reduceat(low[by], firsts)
+    order = np.lexsort((content[one], shard[one]))  # each distinct piece with the first shard that has it
+    one, lowest = one[order], np.minimum.reduceat(low[by], firsts)[order]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
     kind = np.empty(len(content), np.int64)
-    kind[by] = np.repeat(np.arange(len(firsts)), np.diff(np.concatenate((firsts, [len(by)]))))
-    # arrays of bounded size over the distinct pieces
+    kind[by] = np.repeat(place, np.diff(np.concatenate((firsts, [len(by)]))))
+    # arrays of bounded size over the distinct pieces, shard after shard
     arrays, spans = [], []
     filled = np.cumsum(size[one])
     a = 0
@@ -325,11 +324,8 @@ def _smallest(text: np.ndarray, start: np.ndarray, windows: np.ndarray, content:
         spans.append((a, b))
         a = b
     for i in range(len(arrays)):
-        for j in range(i):
+        for j in range(i):  # those before agree on their common windows already, so that one merge with each is enough
             arrays[i].merge(arrays[j])
-    for i in reversed(range(len(arrays))):  # what later arrays have brought to one reaches all
-        for j in range(i):
-            arrays[j].merge(arrays[i])
     found = np.concatenate([x.low[x.group] for x in arrays])
     count = windows[one]
     first = np.cumsum(count) - count
@@ -371,7 +367,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         frame = _with_id(frame)
         ids = frame["id"].to_numpy(np.int64)
         found, owners = [], []
-        for data, ends, rows in stretches(frame):
+        for data, ends, rows, _ in stretches(frame):
             p = Pieces(data, ends)
             a, doc = p.anchor, ids[rows[p.doc]] if len(p.doc) else np.zeros(0, np.int64)
             by = np.lexsort((doc, a))
@@ -422,7 +418,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         ids = frame["id"].to_numpy(np.int64)
         parts: dict[str, list[np.ndarray]] = {k: [] for k in ("content", "low", "high", "windows", "bucket", "part")}
         texts = []
-        for data, ends, rows in stretches(frame):
+        for data, ends, rows, _ in stretches(frame):
             p = Pieces(data, ends)
             r, low32 = range_of(p.anchor)
             key = low32.astype(_U) | r.astype(_U) << _U(32)
@@ -494,7 +490,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         known = frame["id"].notna().to_numpy()
         ids = frame["id"].fillna(-(1 << 63)).to_numpy(np.int64)
         out = []
-        for data, ends, rows in stretches(frame):
+        held, mask, raw = -1, np.zeros(0, bool), []  # the document that is open: its flags, and its bytes in parts
+
+        def close() -> None:
+            if held >= 0:
+                data = np.concatenate(raw)
+                removed = int(mask.sum())
+                spans = int(mask[:1].sum() + (mask[1:] & ~mask[:-1]).sum()) if removed else 0
+                out.append((frame["id"].iat[held], len(data), removed, spans, (data[~mask] if removed else data).tobytes()))
+
+        for data, ends, rows, places in stretches(frame):
             p = Pieces(data, ends)
             own = p.contents()
             a, b = np.searchsorted(content, own, side="left"), np.searchsorted(content, own, side="right")
@@ -508,13 +513,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             np.add.at(edge, p.start[which] + last[run] - 1 + WIDTH, -1)
             gone = np.cumsum(edge[:-1]) > 0
             at = 0
-            for row, end in zip(rows, ends, strict=True):
-                mask = gone[at:end]
-                removed = int(mask.sum())
-                spans = int(mask[:1].sum() + (mask[1:] & ~mask[:-1]).sum()) if removed else 0
-                raw = data[at:end]
-                out.append((frame["id"].iat[row], int(end - at), removed, spans, (raw[~mask] if removed else raw).tobytes()))
+            for row, place, end in zip(rows.tolist(), places.tolist(), ends.tolist(), strict=True):
+                if row != held:
+                    close()
+                    held, mask, raw = row, gone[at:end], [data[at:end]]
+                else:  # the first bytes are the last ones of the part before
+                    over = len(mask) - place
+                    mask = np.concatenate((mask[:place], mask[place:] | gone[at : at + over], gone[at + over : end]))
+                    raw.append(data[at + over : end])
                 at = end
+        close()
         return pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept"]).astype({"id": "Int64"})
 
     by_range = sharded.groupBy("shard").applyInPandas(anchors, "range long, shard int, anchors binary, many binary")

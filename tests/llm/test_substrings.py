@@ -28,6 +28,28 @@ def test_many_shards_and_merged_arrays(docs, monkeypatch):
     check(docs, corpus(), shard_bytes=4000, array_bytes=2500)
 
 
+def test_arrays_of_several_shards_are_merged(docs, monkeypatch):
+    # at the sizes of production a part of 1 MB makes two arrays or more; here all sizes are smaller in proportion
+    merged = []
+    plain = sub.WindowArray.merge
+    monkeypatch.setattr(sub.WindowArray, "merge", lambda a, b: (merged.append(len(a.first)), plain(a, b))[1])
+    assert sub.ARRAY_BYTES < sub.PART_BYTES
+    text = np.random.default_rng(2).integers(97, 123, 6000).astype(np.uint8)
+    n = len(text) // 100
+    start, windows = np.arange(n) * 100, np.full(n, 51)
+    start = np.concatenate((start, start))
+    args = (text, start, np.concatenate((windows, windows)), np.arange(2 * n).astype(np.uint64), np.arange(2 * n)[::-1].copy(), np.full(2 * n, 9999), np.repeat(np.arange(4), n // 2), 1500)
+    rows = sub._smallest(*args)
+    assert merged and {int(x) for r in rows for x in np.frombuffer(r[4], np.int64)} == set(range(n))
+
+
+def test_long_texts_in_parts(docs, monkeypatch):
+    monkeypatch.setattr(sub, "CHUNK_BYTES", 130)
+    check(docs, corpus(), shard_bytes=3000, array_bytes=2000)
+    monkeypatch.setattr(sub, "CHUNK_BYTES", 50)
+    check(docs, corpus()[60:])
+
+
 def test_repeated_rows(docs):
     text = "".join(chr(97 + k * 7 % 26) for k in range(80))
     check(docs, [(5, text), (5, text), (6, text)])
