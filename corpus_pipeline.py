@@ -4,7 +4,9 @@ Each stage takes (spark, docs, sf_dir) and works on all that the stage before ha
 are written as Parquet in the shared folder and read again. All but the last return the columns of `documents`.
 
 Nulls: a null or wordless text is rejected by the first stage; null languages and sources stay null. Of near-duplicate
-rows under one id, the second stage keeps one; rows whose id is null are not joined. Empty tables pass through. Extra columns are left behind.
+rows under one id, the second stage keeps one; rows whose id is null are not joined. Very long texts go through whole, each
+operator working on them in pieces where it can. Ties: of equal documents the smallest id stays, and of equal rows under
+one id one; the mix breaks ties by a hash of id and text. Empty tables pass through. Extra columns are left behind.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm import bpe, jaccard, mixing, pii, quality
-from kinweave.llm.common import few_ids, materialize, read_table
+from kinweave.llm.common import discard, few_ids, materialize, read_table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -72,10 +74,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another over `documents`."""
-    docs = read_table(spark, sf_dir, "documents", *COLUMNS)
+    """The stages one after another over `documents`. What a stage has written goes once the next one is written."""
+    docs, before = read_table(spark, sf_dir, "documents", *COLUMNS), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, f"stage-{k}")
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
