@@ -21,7 +21,6 @@ result. Only the named columns are read.
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -181,20 +180,24 @@ def grams(words: list[str]) -> list[str]:
     return [*words, *map(" ".join, zip(words, words[1:], strict=False)), *map(" ".join, zip(words, words[1:], words[2:], strict=False))]
 
 
-@functools.cache
-def _held() -> dict[str, int]:
+class _Hashes(dict):
     """Hashes of words seen lately."""
-    return {}
+
+    def __missing__(self, word: str) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_HELD = _Hashes()
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
     """64-bit hashes of words, with two empty ones behind them."""
-    held = _held()
-    if len(held) > KEPT_WORDS:
-        held.clear()
-    for w in set(words) - held.keys():
-        held[w] = xxhash.xxh3_64_intdigest(w)
-    return np.array([*map(held.__getitem__, words), 0, 0], np.uint64)
+    if len(_HELD) > KEPT_WORDS:
+        _HELD.clear()
+    out = np.zeros(len(words) + 2, np.uint64)
+    out[: len(words)] = np.fromiter(map(_HELD.__getitem__, words), np.uint64, len(words))
+    return out
 
 
 def gram_indices(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
