@@ -307,18 +307,6 @@ def unruled_classes(sketches: list[np.ndarray], size: np.ndarray, scheme: Scheme
     return label
 
 
-def facts_table(given: DataFrame, words: int) -> DataFrame:
-    """id, n (shingles), f1 and f2 (fingerprint of the set) and its sketch. given: id, text."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            sets = _frame_sets(frame, words)
-            prints = [[int(mix(s, k).sum(dtype=_U).view(np.int64)) for s in sets] for k in (41, 42)]
-            yield pd.DataFrame({"id": frame["id"], "n": [len(s) for s in sets], "f1": prints[0], "f2": prints[1], "sketch": [sketch(s).tobytes() for s in sets]})
-
-    return given.mapInPandas(run, "id bigint, n bigint, f1 bigint, f2 bigint, sketch binary")
-
-
 def _blob(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
@@ -327,42 +315,58 @@ def _whole(column: pd.Series, kind: type) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in column)])
 
 
-def signature_table(given: DataFrame, words: int, scheme: Scheme, buckets: int) -> DataFrame:
-    """The signatures of each batch of sets by bucket, packed: sigs with ids; every_sigs with every_ids; tie_a, tie_b.
+def sets_table(given: DataFrame, words: int, scheme: Scheme, buckets: int) -> DataFrame:
+    """All that is made of the texts, in one pass over them. given: id (0 where it is null), known (whether it isn't), text.
 
-    Where a batch has very many sets with one signature, only the smallest id carries it on, among every_sigs: it
-    stands for all of them, to which it is tied. given: id, text.
+    Rows with bucket -1 are facts: id, known, n (shingles), f1 and f2 (fingerprint of the set) and its sketch. The others
+    are the signatures of each batch of sets by bucket, packed: sigs with ids; every_sigs with every_ids; tie_a, tie_b.
+    Where a batch has very many sets with one signature, only the smallest id carries it on, among every_sigs: it stands
+    for all of them, to which it is tied.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            frame = frame[frame["id"].notna()].sort_values("id", kind="stable")
-            ids = frame["id"].to_numpy(np.int64)
-            owner, sig = signatures(_frame_sets(frame, words), scheme)
-            if not len(sig):
-                continue
-            by = np.lexsort((owner, sig))
-            owner, sig = owner[by], sig[by]
-            head = np.concatenate(([True], sig[1:] != sig[:-1]))
-            at = np.flatnonzero(head)
-            count = np.diff(np.concatenate((at, [len(sig)])))
-            many = np.repeat(count > MAX_IN_BATCH, count)
-            tied = np.unique(ids[np.stack((owner, np.repeat(owner[at], count)), 1)[many & ~head]], axis=0)
-            every_sig, every_id = sig[many & head], ids[owner[many & head]]
-            owner, sig = owner[~many], sig[~many]
-            bucket = (sig % _U(buckets)).astype(np.int64)
-            by = np.lexsort((owner, bucket))  # in order of owners, ids repeat and pack well
-            owner, sig, bucket = owner[by], sig[by], bucket[by]
-            cut = np.searchsorted(bucket, np.arange(buckets + 1))
-            to = (every_sig % _U(buckets)).astype(np.int64)
-            tie_to = tied[:, 1] % buckets
-            rows = []
-            for k in np.unique(np.concatenate((bucket, to, tie_to))).tolist():
-                own = slice(cut[k], cut[k + 1])
-                rows.append((k, _blob(sig[own]), _blob(ids[owner[own]]), _blob(every_sig[to == k]), _blob(every_id[to == k]), _blob(tied[tie_to == k, 0]), _blob(tied[tie_to == k, 1])))
-            yield pd.DataFrame(rows, columns=["bucket", "sigs", "ids", "every_sigs", "every_ids", "tie_a", "tie_b"])
-
-    return given.mapInPandas(run, "bucket int, sigs binary, ids binary, every_sigs binary, every_ids binary, tie_a binary, tie_b binary")
+            frame = frame.sort_values("id", kind="stable")
+            ids, known = frame["id"].to_numpy(np.int64), frame["known"].to_numpy(bool)
+            sets = _frame_sets(frame, words)
+            facts = {"id": ids, "known": known, "n": [len(s) for s in sets], "bucket": -1, "sketch": [sketch(s).tobytes() for s in sets]}
+            facts |= {f"f{k}": [int(mix(s, 40 + k).sum(dtype=_U).view(np.int64)) for s in sets] for k in (1, 2)}
+            yield pd.DataFrame(facts).assign(**dict.fromkeys(PACKED))
+            rows = _signature_rows(ids[known], [s for s, k in zip(sets, known, strict=True) if k], scheme, buckets)
+            if rows:
+                yield pd.DataFrame(rows, columns=["bucket", *PACKED]).assign(id=0, known=False, n=0, f1=0, f2=0, sketch=None)
+
+    return given.mapInPandas(run, "id bigint, known boolean, n bigint, f1 bigint, f2 bigint, sketch binary, bucket int, " + ", ".join(f"{c} binary" for c in PACKED))
+
+
+PACKED = ("sigs", "ids", "every_sigs", "every_ids", "tie_a", "tie_b")
+
+
+def _signature_rows(ids: np.ndarray, sets: list[np.ndarray], scheme: Scheme, buckets: int) -> list[tuple]:
+    """The packed signatures of a batch by bucket; ids ascend."""
+    owner, sig = signatures(sets, scheme)
+    if not len(sig):
+        return []
+    by = np.lexsort((owner, sig))
+    owner, sig = owner[by], sig[by]
+    head = np.concatenate(([True], sig[1:] != sig[:-1]))
+    at = np.flatnonzero(head)
+    count = np.diff(np.concatenate((at, [len(sig)])))
+    many = np.repeat(count > MAX_IN_BATCH, count)
+    tied = np.unique(ids[np.stack((owner, np.repeat(owner[at], count)), 1)[many & ~head]], axis=0)
+    every_sig, every_id = sig[many & head], ids[owner[many & head]]
+    owner, sig = owner[~many], sig[~many]
+    bucket = (sig % _U(buckets)).astype(np.int64)
+    by = np.lexsort((owner, bucket))  # in order of owners, ids repeat and pack well
+    owner, sig, bucket = owner[by], sig[by], bucket[by]
+    cut = np.searchsorted(bucket, np.arange(buckets + 1))
+    to = (every_sig % _U(buckets)).astype(np.int64)
+    tie_to = tied[:, 1] % buckets
+    rows = []
+    for k in np.unique(np.concatenate((bucket, to, tie_to))).tolist():
+        own = slice(cut[k], cut[k + 1])
+        rows.append((k, _blob(sig[own]), _blob(ids[owner[own]]), _blob(every_sig[to == k]), _blob(every_id[to == k]), _blob(tied[tie_to == k, 0]), _blob(tied[tie_to == k, 1])))
+    return rows
 
 
 def sharers_of(table: DataFrame, buckets: int) -> DataFrame:
@@ -456,11 +460,12 @@ def join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
     bounded_batches(docs.sparkSession)
     scheme = Scheme(num, den)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    facts = materialize(facts_table(texts, words), "shingle-sets")
-    leaders = facts.filter("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("leader"), F.count("*").alias("rows"))
-
     buckets = parts_for(text_bytes(texts), BUCKET_BYTES)
-    sharers = materialize(sharers_of(signature_table(texts, words, scheme, buckets), buckets), "sharers")
+    known = F.col("id").isNotNull()
+    sets = materialize(sets_table(texts.select(F.coalesce("id", F.lit(0)).alias("id"), known.alias("known"), "text"), words, scheme, buckets), "shingle-sets")
+    facts = sets.filter("bucket < 0").select(F.when(F.col("known"), F.col("id")).alias("id"), "n", "f1", "f2", "sketch")
+    leaders = facts.filter("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("leader"), F.count("*").alias("rows"))
+    sharers = materialize(sharers_of(sets.filter("bucket >= 0").select("bucket", *PACKED), buckets), "sharers")
     groups = components(ties_of(sharers, facts, scheme))
     discard(sharers)
 
