@@ -168,7 +168,7 @@ def stretches(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.
 
 
 def _with_id(frame: pd.DataFrame) -> pd.DataFrame:
-    return frame[frame["id"].notna()].sort_values("id", kind="stable")
+    return frame[frame["known"]].sort_values("id", kind="stable")
 
 
 # --- suffix arrays ---------------------------------------------------------------------------------------------------
@@ -351,12 +351,13 @@ def _smallest(text: np.ndarray, start: np.ndarray, windows: np.ndarray, content:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, array_bytes: int = ARRAY_BYTES) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary, what is left)."""
     bounded_batches(docs.sparkSession)
-    given = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    known = F.col(id_col).cast("long").isNotNull()
+    given = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), known.alias("known"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n_bytes = text_bytes(given)
     shards = parts_for(n_bytes, shard_bytes)
     ranges = max(1, n_bytes * 2 // ((WIDTH - KMER + 2) * RANGE_ANCHORS))
     buckets = shards * BUCKETS_PER_SHARD
-    sharded = given.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).repartition(shards, "shard")
+    sharded = given.withColumn("shard", F.pmod(F.xxhash64("id", "known", "text"), F.lit(shards)).cast("int")).repartition(shards, "shard")
 
     def range_of(anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hash range of each anchor, and the 32 bits by which it is told apart within the range."""
@@ -486,9 +487,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         first, last = take("first", np.uint8).astype(np.int64), take("last", np.uint8).astype(np.int64)
         by = np.argsort(content, kind="stable")
         content, low, first, last = content[by], low[by], first[by], last[by]
-        frame = frame.sort_values("id", kind="stable", na_position="last")
-        known = frame["id"].notna().to_numpy()
-        ids = frame["id"].fillna(-(1 << 63)).to_numpy(np.int64)
+        frame = frame.sort_values(["known", "id"], kind="stable")
+        known, ids = frame["known"].to_numpy(bool), frame["id"].to_numpy(np.int64)
         out = []
         held, mask, raw = -1, np.zeros(0, bool), []  # the document that is open: its flags, and its bytes in parts
 
@@ -497,7 +497,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 data = np.concatenate(raw)
                 removed = int(mask.sum())
                 spans = int(mask[:1].sum() + (mask[1:] & ~mask[:-1]).sum()) if removed else 0
-                out.append((frame["id"].iat[held], len(data), removed, spans, (data[~mask] if removed else data).tobytes()))
+                out.append((int(ids[held]) if known[held] else pd.NA, len(data), removed, spans, (data[~mask] if removed else data).tobytes()))
 
         for data, ends, rows, places in stretches(frame):
             p = Pieces(data, ends)

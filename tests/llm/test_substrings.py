@@ -63,6 +63,14 @@ def test_null_ids(docs):
     text = "".join(chr(97 + k * 7 % 26) for k in range(80))
     out = {r["doc_id"]: r["n_removed"] for r in sub.remove_repeats(docs([(None, text), (1, text)])).collect()}
     assert out == {None: 0, 1: 0}
+    rows = [(None, text), ((1 << 60) + 1, text), ((1 << 60) + 3, "x" + text), ((1 << 60) + 2, "y")]
+    out = {r["doc_id"]: r["n_removed"] for r in sub.remove_repeats(docs(rows)).collect()}
+    assert out == {None: 0, (1 << 60) + 1: 0, (1 << 60) + 3: 80, (1 << 60) + 2: 0}
+
+
+def test_one_id_on_many_rows(docs):
+    rows = [(1, t) for _, t in corpus()] + [(0, corpus()[3][1]), (2, corpus()[4][1])]
+    check(docs, rows, shard_bytes=3000)
 
 
 def test_suffix_ranks_order_prefixes():
