@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import Carried, bounded_batches
 
 #: Distinct pre-tokens encoded together, and kept before the index starts afresh.
 CHUNK_WORDS = 150_000
@@ -277,16 +277,14 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     `tokenizer` is the path of a byte-level BPE file, readable on every executor. No shuffle.
     """
     bounded_batches(docs.sparkSession)
-    schema = docs.select(id_col, *carry).schema
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema] + ["n_tokens bigint"]
-    kinds += ["ids array<int>"] * with_ids + ["decoded string"] * with_text + ["ids_sha256 string", "decoded_sha256 string"] * digests
-    names = [f.name for f in schema]
+    through = Carried(docs, (id_col, *carry))
+    made = ["n_tokens bigint"] + ["ids array<int>"] * with_ids + ["decoded string"] * with_text + ["ids_sha256 string", "decoded_sha256 string"] * digests
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = ByteBPE(tokenizer)
         for frame in _held(frames, hold_chars):
             ids = bpe.encode_batch([t if isinstance(t, str) else None for t in frame["text"]])
-            out = frame[[f"c{k}" for k in range(len(names))]].set_axis(names, axis=1)
+            out = frame[through.names].copy()
             out["n_tokens"] = [len(x) for x in ids]
             if with_ids:
                 out["ids"] = [x.astype(np.int32) for x in ids]
@@ -297,5 +295,5 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 out["decoded_sha256"] = [hashlib.sha256(bpe.decode(x).encode("utf-8", "surrogatepass")).hexdigest() for x in ids]
             yield out
 
-    given = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)], F.col(f"`{text_col}`").cast("string").alias("text"))
-    return given.mapInPandas(run, ", ".join(kinds))
+    given = docs.select(*through.given(), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return given.mapInPandas(run, ", ".join([*through.kinds(), *made])).select(*through.restored(), *[m.split(" ")[0] for m in made])

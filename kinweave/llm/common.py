@@ -5,10 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches stay this small, so that a worker's memory doesn't depend on the size of a partition.
@@ -101,6 +101,31 @@ def partition_keys(n: int) -> np.ndarray:
     return keys
 
 
+class Carried:
+    """Columns that pass through a pandas function as they are. Whole numbers of 64 bits travel as text: where a column has
+    nulls, pandas would make them floating-point numbers, which don't hold the large ones."""
+
+    def __init__(self, df: DataFrame, names: Sequence[str]) -> None:
+        self.fields = [df.schema[n] for n in names]
+        self.names = [f"c{k}" for k in range(len(names))]
+
+    def _travels(self, k: int) -> str:
+        kind = self.fields[k].dataType.simpleString()
+        return "string" if kind == "bigint" else kind
+
+    def given(self) -> list[Column]:
+        """The columns as the function gets and returns them: c0, c1 ..."""
+        return [F.col(f"`{f.name}`").cast(self._travels(k)).alias(c) for k, (f, c) in enumerate(zip(self.fields, self.names, strict=True))]
+
+    def kinds(self) -> list[str]:
+        """Their part of the function's schema."""
+        return [f"{c} {self._travels(k)}" for k, c in enumerate(self.names)]
+
+    def restored(self) -> list[Column]:
+        """The columns under their names and types again."""
+        return [F.col(c).cast(f.dataType).alias(f.name) for f, c in zip(self.fields, self.names, strict=True)]
+
+
 def batches(frames: Iterable, rows: int) -> Iterator:
     """Slices of at most `rows` rows of an iterator of pandas frames."""
     for frame in frames:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, partition_keys, parts_for, text_bytes
+from .common import Carried, bounded_batches, partition_keys, parts_for, text_bytes
 
 MIN_CHUNK, NORMAL_CHUNK, MAX_CHUNK = 8, 24, 128
 STRICT_BITS, LOOSE_BITS = 6, 3
@@ -125,10 +125,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"id": frame["id"], "fingerprint": [written(fingerprint(t if isinstance(t, str) else None)) for t in frame["text"]]})
+            yield pd.DataFrame({"c0": frame["c0"], "fingerprint": [written(fingerprint(t if isinstance(t, str) else None)) for t in frame["text"]]})
 
-    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return given.mapInPandas(run, f"id {docs.schema[id_col].dataType.simpleString()}, fingerprint string").withColumnRenamed("id", id_col)
+    through = Carried(docs, (id_col,))
+    given = docs.select(*through.given(), F.col(text_col).cast("string").alias("text"))
+    return given.mapInPandas(run, ", ".join([*through.kinds(), "fingerprint string"])).select(*through.restored(), "fingerprint")
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,7 +155,8 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     places = F.pandas_udf(places, T.ArrayType(T.LongType()))
     dealt = rows.select("id", "order", "text", F.explode(places("order")).alias("at"))
     dealt = dealt.select("id", "order", "text", F.shiftright("at", 32).cast("int").alias("key"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("place"))
-    return dealt.repartition(max(1, len(firsts)), "key").sortWithinPartitions(F.shiftright("place", 1), "place", "order", "text").select("id", "place", "text")
+    dealt = dealt.repartition(max(1, len(firsts)), "key").sortWithinPartitions(F.shiftright("place", 1), "place", "order", "text")
+    return dealt.select(F.col("id").cast("string").alias("id"), "place", "text")
 
 
 def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,7 +180,7 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     eprint = fingerprint(edited)
                     out.append((pid, len(ptext), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), written(pprint), written(eprint), containment(pprint, eprint), containment(pprint, own)))
                 prior = (place >> 1, bool(place & 1), rid, text, own)
-            yield pd.DataFrame(out, columns=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]).astype({"id": "Int64", "n_chars": "int64"})
+            yield pd.DataFrame(out, columns=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]).astype({"n_chars": "int64"})
 
-    kinds = "id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.mapInPandas(run, kinds).withColumnRenamed("id", id_col)
+    kinds = "id string, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return dealt.mapInPandas(run, kinds).withColumn("id", F.col("id").cast("bigint")).withColumnRenamed("id", id_col)

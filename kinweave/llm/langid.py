@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, materialize, small
+from .common import Carried, bounded_batches, discard, materialize, small
 
 DIM = 1 << 14
 SAMPLE_PER_LANG = 600
@@ -208,9 +208,9 @@ def predict(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: s
     """id, lang_pred, score and rejected. With `reject`, a rejected text's lang_pred is `und`. No shuffle."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    kind = docs.schema[id_col].dataType.simpleString()
+    through = Carried(docs, (id_col,))
     answer = "lang_pred string, score double, rejected boolean"
-    now = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
+    now = docs.select(*through.given(), F.col(text_col).cast("string").alias("text"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
     for k in range(models.parts):
         shared = spark.sparkContext.broadcast(models.part(k))  # PART_LANGS * CENTROIDS * DIM at most
         last = k == models.parts - 1
@@ -222,10 +222,10 @@ def predict(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: s
                     own = shared.value.predict(text if isinstance(text, str) else None)
                     # the better cosine; of equal ones the first language
                     found.append(own if own[0] != "und" and (best[0] == "und" or (-own[1], own[0].encode("utf-8", "surrogatepass")) < (-best[1], best[0].encode("utf-8", "surrogatepass"))) else best)
-                out = pd.DataFrame({"id": frame["id"], "lang_pred": ["und" if last and reject and x[2] else x[0] for x in found], "score": [x[1] for x in found], "rejected": [x[2] for x in found]})
+                out = pd.DataFrame({"c0": frame["c0"], "lang_pred": ["und" if last and reject and x[2] else x[0] for x in found], "score": [x[1] for x in found], "rejected": [x[2] for x in found]})
                 yield out if last else out.assign(text=frame["text"])
 
-        now = now.mapInPandas(run, f"id {kind}, {answer}" + ("" if last else ", text string"))
+        now = now.mapInPandas(run, ", ".join([*through.kinds(), answer]) + ("" if last else ", text string"))
         if not last:  # one model at a time
             now = materialize(now, "langid-answers")
-    return now.withColumnRenamed("id", id_col)
+    return now.select(*through.restored(), "lang_pred", "score", "rejected")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import Carried, bounded_batches
 
 DIM = 1 << 14
 #: Documents whose paragraphs train `unknown`, chosen by a hash of id and text; never more than twice as many.
@@ -581,12 +581,12 @@ def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: s
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"id": frame["id"], "findings": scan_texts([t if isinstance(t, str) else None for t in frame["text"]], shared.value)})
+            yield pd.DataFrame({"c0": frame["c0"], "findings": scan_texts([t if isinstance(t, str) else None for t in frame["text"]], shared.value)})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = given.mapInPandas(run, f"id {kind}, findings array<struct<line:int,family:string,probability:double,containment:double,confirmed:boolean>>")
-    return out.withColumnRenamed("id", id_col)
+    through = Carried(docs, (id_col,))
+    given = docs.select(*through.given(), F.col(text_col).cast("string").alias("text"))
+    out = given.mapInPandas(run, ", ".join([*through.kinds(), "findings array<struct<line:int,family:string,probability:double,containment:double,confirmed:boolean>>"]))
+    return out.select(*through.restored(), "findings")
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import Carried, bounded_batches
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn")
@@ -199,21 +199,20 @@ def redact(text: str | None, spans: list[Span]) -> str | None:
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row: the id, `carry`, spans (array of start, kind, end, score) and redacted. No shuffle."""
     bounded_batches(docs.sparkSession)
-    fields = docs.select(id_col, *carry).schema
-    names = [f.name for f in fields]
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
+    through = Carried(docs, (id_col, *carry))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts = [t if isinstance(t, str) else None for t in frame["text"]]
             spans = [scan(t) for t in texts]
-            out = frame[[f"c{k}" for k in range(len(names))]].set_axis(names, axis=1)
+            out = frame[through.names].copy()
             out["spans"] = [[s._asdict() for s in x] for x in spans]
             out["redacted"] = [redact(t, x) for t, x in zip(texts, spans, strict=True)]
             yield out
 
-    given = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)], F.col(f"`{text_col}`").cast("string").alias("text"))
-    return given.mapInPandas(run, ", ".join([*kinds, "spans array<struct<start:int,kind:string,end:int,score:double>>", "redacted string"]))
+    given = docs.select(*through.given(), F.col(f"`{text_col}`").cast("string").alias("text"))
+    found = given.mapInPandas(run, ", ".join([*through.kinds(), "spans array<struct<start:int,kind:string,end:int,score:double>>", "redacted string"]))
+    return found.select(*through.restored(), "spans", "redacted")
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, materialize
+from .common import Carried, bounded_batches, discard, materialize
 
 DIM = 1 << 12
 #: Rows that train the scorer, half of each side; the hash gives about so many, and never more.
@@ -238,14 +238,15 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(scorer)  # DIM weights
-    fields = [docs.schema[c] for c in (id_col, *carry)]
+    through = Carried(docs, (id_col, *carry))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = frame[[f"c{k}" for k in range(len(fields))]].set_axis([f.name for f in fields], axis=1)
+            out = frame[through.names].copy()
             out["score"] = [shared.value.score(t if isinstance(t, str) else None) for t in frame["given"]]
             out["keep"] = out["score"] >= threshold
             yield out
 
-    given = docs.select(*[F.col(f"`{f.name}`").alias(f"c{k}") for k, f in enumerate(fields)], F.col(f"`{text_col}`").cast("string").alias("given"))
-    return given.mapInPandas(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "score double", "keep boolean"]))
+    given = docs.select(*through.given(), F.col(f"`{text_col}`").cast("string").alias("given"))
+    scored = given.mapInPandas(run, ", ".join([*through.kinds(), "score double", "keep boolean"]))
+    return scored.select(*through.restored(), "score", "keep")

@@ -3,7 +3,7 @@ import os
 import duckdb
 import pytest
 
-from kinweave.llm import queries
+from kinweave.llm import bpe, fingerprint, jaccard, langid, licenses, mixing, pii, quality, queries
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = {
@@ -48,3 +48,24 @@ def test_like_sql(spark, sql, name):
     found = sql.execute(queries.ORACLE_SQL[name])
     names = [d[0] for d in found.description]
     assert sorted(map(tuple, df.select(*names).collect())) == sorted(found.fetchall())
+
+
+def test_large_ids_beside_nulls(docs):
+    """Ids that floating-point numbers don't hold come out as they went in, in a batch that has a null id as well."""
+    big = (1 << 62) + 1
+    table = docs([(None, "Some words of a text.", None, None), (big, "Some words of a text.", None, "a"), (big + 1, None, "en", None), (-big, "The end of it all.", "en", "a")])
+    want = sorted([None, big, big + 1, -big], key=str)
+    model = langid.fit(table)
+    for out in (
+        bpe.encode(table, queries.public_tokenizers.path("byte_bpe_50k.json")),
+        langid.predict(table, model),
+        licenses.scan(table, licenses.train([["some", "plain", "words"]], copies=1, rounds=3)),
+        pii.detect(table),
+        quality.score(table, quality.fit(table), carry=("lang",)),
+        fingerprint.fingerprints(table),
+        fingerprint.edit_report(table),
+        jaccard.join(table),
+        mixing.mix(table),
+    ):
+        assert sorted((r["doc_id"] for r in out.collect()), key=str) == want
+        assert dict(out.dtypes)["doc_id"] == "bigint"
