@@ -43,21 +43,26 @@ def singleton_baseline(universe: DataFrame, edges: DataFrame) -> DataFrame:
 def threshold_sweep(universe: DataFrame, edges: DataFrame, scored: DataFrame, grid: list[float] | None = None, beta: float = 0.5) -> DataFrame:
     """t and macro_f for every threshold, in one job. scored: s1_id, other_id, prob; a pair counts from prob >= t.
 
-    Pairs are counted by entity and the highest grid step that they reach, and summed from the top down.
+    Pairs are counted by entity and the highest grid step that they reach. Going down the grid, an entity's F changes only
+    at steps that some pair of it reaches; these changes are summed by step, and the steps from the top down.
     """
     from pyspark.sql import Window
 
     grid = grid or [(2 + i) / 40 for i in range(37)]
     spark = universe.sparkSession
-    steps = spark.createDataFrame([(k, float(t)) for k, t in enumerate(grid)], "k int, t double")
     level = F.array_max(F.transform(F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(t)).alias("t")) for k, t in enumerate(grid)]), lambda s: s["t"] <= F.col("prob")), lambda s: s["k"]))
     labelled = scored.join(edges.select("s1_id", "other_id", F.lit(1).alias("hit")), ["s1_id", "other_id"], "left").withColumn("k", level).filter("k is not null")
     at = labelled.groupBy("s1_id", "k").agg(F.count("*").alias("n"), F.coalesce(F.sum("hit"), F.lit(0)).alias("h"))
     base = universe.select("s1_id").distinct().join(edges.groupBy("s1_id").agg(F.count("*").alias("n_true")), "s1_id", "left").fillna(0, ["n_true"])
-    full = base.crossJoin(F.broadcast(steps)).join(at, ["s1_id", "k"], "left").fillna(0, ["n", "h"])
-    down = Window.partitionBy("s1_id").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
-    full = full.withColumn("n_pred", F.sum("n").over(down)).withColumn("hits", F.sum("h").over(down))
-    return full.groupBy("t").agg(F.avg(f_beta(F.col("n_true"), F.col("n_pred"), F.col("hits"), beta)).alias("macro_f"))
+    down = Window.partitionBy("s1_id").orderBy(F.desc("k"))
+    upto = down.rowsBetween(Window.unboundedPreceding, 0)
+    none = f_beta(F.col("n_true"), F.lit(0), F.lit(0), beta)
+    reached = at.join(base, "s1_id").select("s1_id", "k", "n_true", f_beta(F.col("n_true"), F.sum("n").over(upto), F.sum("h").over(upto), beta).alias("f"))
+    changes = reached.withColumn("change", F.col("f") - F.coalesce(F.lag("f").over(down), none)).groupBy("k").agg(F.sum("change").alias("change"))
+    start = base.agg(F.count("*").alias("entities"), F.coalesce(F.sum(none), F.lit(0.0)).alias("floor"))
+    steps = spark.createDataFrame([(k, float(t)) for k, t in enumerate(grid)], "k int, t double").join(F.broadcast(changes), "k", "left")
+    summed = F.coalesce(F.sum("change").over(Window.orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))  # a row for each step
+    return steps.select("t", summed.alias("above")).crossJoin(F.broadcast(start)).filter("entities > 0").select("t", ((F.col("floor") + F.col("above")) / F.col("entities")).alias("macro_f"))
 
 
 def best_threshold(sweep: DataFrame) -> tuple[float, float]:
