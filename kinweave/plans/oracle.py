@@ -168,6 +168,34 @@ SQL: dict[str, str] = {
     "block_prefix": _with("SELECT s1_id, other_id FROM by_prefix"),
     "block_union": _with("SELECT s1_id, other_id, shared FROM merged"),
     "cap_ranked": _with("SELECT s1_id, other_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY shared DESC, other_id) AS r FROM merged) WHERE r <= 20"),
+    "block_prefix_by_chunk": _with(
+        "SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS other_id FROM ck a JOIN safe2 s ON a.key = s.key AND a.chunk_id = s.chunk_id JOIN keys b ON b.key = s.key AND b.src = s.src",
+        {
+            "ck": "SELECT k.*, CAST((row_number() OVER (ORDER BY entity_id) - 1) // 300 AS BIGINT) AS chunk_id FROM keys k WHERE src = 'S1'",
+            "n1": "SELECT key, chunk_id, count(*) AS n FROM ck GROUP BY ALL",
+            "safe2": "SELECT b.src, b.key, a.chunk_id FROM n1 a JOIN n_keys b USING (key) WHERE b.src <> 'S1' AND a.n * b.n <= 400",
+        },
+    ),
+    "block_token_by_chunk": _with(
+        "SELECT a.entity_id AS s1_id, b.entity_id AS other_id, count(*) AS shared FROM kept1 a JOIN kept2 b USING (token) GROUP BY ALL",
+        {
+            "slices": "SELECT entity_id, (row_number() OVER (ORDER BY entity_id) - 1) // 300 AS chunk_id FROM src1",
+            "p1": "SELECT p.entity_id, token, chunk_id, count(*) OVER (PARTITION BY token, chunk_id) AS n FROM post p JOIN slices USING (entity_id)",
+            "kept1": "SELECT * FROM p1 WHERE n <= 20",
+            "kept2": "SELECT p.* FROM post p JOIN df USING (src, token) WHERE df <= 20 AND src <> 'S1'",
+        },
+    ),
+    "candidates_tfidf": _with(
+        "SELECT s1_id, other_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY shared DESC, other_id) AS r FROM every) WHERE r <= 20",
+        {
+            "rare": "SELECT a.entity_id AS s1_id, b.entity_id AS other_id, count(*) AS shared FROM post a JOIN post b USING (token) WHERE a.src = 'S1' AND b.src <> 'S1' GROUP BY ALL",
+            "every": f"SELECT s1_id, other_id, CAST(sum(shared) AS BIGINT) AS shared FROM (SELECT * FROM rare UNION ALL SELECT s1_id, other_id, 0 FROM ({_tfidf(_WORD_GRAMS)}) UNION ALL SELECT s1_id, other_id, 0 FROM ({_tfidf(_CHAR_GRAMS)})) GROUP BY ALL",
+        },
+    ),
+    "source_files": _with("SELECT entity_id, " + ", ".join(f"regexp_replace(coalesce({c}, ''), '^\\s+|\\s+$', '', 'g') AS {c}" for c in ("business_name", "business_address", "country")) + " FROM src"),
+    "source_cache": _with("SELECT entity_id, norm_name, norm_addr FROM normed"),
+    "truth_file": _with("SELECT s1_id, other_id FROM edges"),
+    "result_file_ids": _with("SELECT s1_id AS id FROM universe"),
     "chunk_slices": _with("SELECT chunk_id, count(*) AS n, min(entity_id) AS first_id FROM (SELECT entity_id, CAST((row_number() OVER (ORDER BY entity_id) - 1) // 300 AS BIGINT) AS chunk_id FROM src1) GROUP BY 1"),
     "pair_frame": _with("SELECT * FROM pairs"),
     "topk_word_tfidf": _tfidf(_WORD_GRAMS),
@@ -266,3 +294,5 @@ SQL: dict[str, str] = {
     "matching_results": _with(_sorted_edges("predicted")),
     "candidate_pairs": _with(_sorted_edges("cands")),
 }
+
+SQL["validate_files"] = f"SELECT * FROM ({SQL['validate_lists']}) UNION ALL SELECT * FROM ({SQL['validate_subset']})"

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..config import LinkConfig
 from ..functions.similarity import edit_features, relational_features, set_jaccard
-from ..functions.normalize import char_bigrams, tokens
+from ..functions.normalize import add_norm_columns, char_bigrams, tokens
 from ..operators import audit, blocking, matcher, metrics, sampling, topk, validate
-from ..sources import fixtures, tsv
+from ..sources import cache, fixtures, tsv
 from . import link, oracle
 
 #: Caps that bite on the small fixtures too.
@@ -117,6 +117,29 @@ def cap_ranked(spark, d):
     return blocking.cap_ranked(block_union(spark, d), 20)
 
 
+@query
+def block_prefix_by_chunk(spark, d):
+    """Caps on prefix keys by chunks of S1."""
+    s1, s2, s3 = fixtures.normed(spark, d)
+    s1 = blocking.chunks(s1, 300)
+    return reduce(DataFrame.unionByName, [blocking.by_prefix(s1, o, 4, 400, chunk="chunk_id") for o in (s2, s3)]).select("s1_id", "other_id")
+
+
+@query
+def block_token_by_chunk(spark, d):
+    """Caps on tokens of both sides, of S1 by chunks."""
+    s1, s2, s3 = fixtures.normed(spark, d)
+    s1 = blocking.chunks(s1, 300)
+    return reduce(DataFrame.unionByName, [blocking.by_tokens(s1, o, max_df=20, cap_s1=True, chunk="chunk_id") for o in (s2, s3)])
+
+
+@query
+def candidates_tfidf(spark, d):
+    """The candidates of a run with the TF-IDF channels."""
+    s1, s2, s3 = fixtures.normed(spark, d)
+    return link.candidates(s1, [s2, s3], LinkConfig(use_tfidf=True, max_cands_per_entity=20))
+
+
 @query
 def chunk_slices(spark, d):
     s1, _, _ = fixtures.sources(spark, d)
@@ -381,6 +404,60 @@ def candidate_pairs(spark, d):
     return tsv.result_lists(fixtures.truth(spark, d)[1], _candidates(spark, d))
 
 
+def _source_files(spark: SparkSession, d: str) -> dict[str, str]:
+    """The fixture's sources as files with tabs, quoted where they must be."""
+    at = cache.scratch(spark, "sources")
+    for k, s in enumerate(fixtures.sources(spark, d), 1):
+        s.write.csv(f"{at}/source{k}.tsv", sep="\t", header=True, quote='"', escape='"', emptyValue="")
+    return {f"source{k}": f"{at}/source{k}.tsv" for k in (1, 2, 3)}
+
+
+@query
+def source_files(spark, d):
+    """Sources written as files and loaded again, with the loader's checks."""
+    return reduce(DataFrame.unionByName, [tsv.load_source(spark, path, f"S{name[-1]}-") for name, path in _source_files(spark, d).items()])
+
+
+@query
+def source_cache(spark, d):
+    """Normalized sources by way of the Parquet cache, which is read the second time."""
+    files, at = _source_files(spark, d), cache.scratch(spark, "cache")
+    build = lambda name, path: add_norm_columns(tsv.load_source(spark, path, f"S{name[-1]}-"))
+    cache.load_or_build(spark, at, files, build)
+    frames = cache.load_or_build(spark, at, files, lambda name, path: None)
+    return reduce(DataFrame.unionByName, frames.values()).select("entity_id", "norm_name", "norm_addr")
+
+
+@query
+def truth_file(spark, d):
+    """The ground truth written as one file and loaded again, as edges."""
+    edges, universe = fixtures.truth(spark, d)
+    at = cache.scratch(spark, "truth") + "/truth.tsv"
+    tsv.write_results(universe, edges, at, "matching", single=True)
+    return tsv.truth_edges(tsv.load_ground_truth(spark, at))
+
+
+@query
+def result_file_ids(spark, d):
+    """The first cells of a result file."""
+    edges, universe = fixtures.truth(spark, d)
+    at = cache.scratch(spark, "results") + "/candidates.tsv"
+    tsv.write_results(universe, edges, at, "candidate", single=True)
+    return tsv.read_ids(spark, at)
+
+
+@query
+def validate_files(spark, d):
+    """The report on two result files, the first with faults of every kind."""
+    rows, universe, cands = _damaged_lists(spark, d)
+    _, s2, s3 = fixtures.sources(spark, d)
+    at = cache.scratch(spark, "faulty")
+    for kind, lists in (("matching", rows), ("candidate", cands)):
+        a, b = tsv.HEADERS[kind]
+        lists.select(F.col("s1_id").alias(a), F.array_join("ids", ",").alias(b)).write.csv(f"{at}/{kind}", sep="\t", header=True, quote="\u0000", emptyValue="")
+    return link.validate_outputs(spark, f"{at}/matching", f"{at}/candidate", universe, s2.unionByName(s3).select(F.col("entity_id").alias("other_id")))
+
+
 @query
 def train_oof_isotonic(spark, d):
     """Out-of-fold probabilities of a quick matcher, calibrated."""
