@@ -25,6 +25,38 @@ def folder(docs, tmp_path):
     return str(tmp_path), rows
 
 
+def first_of_near_copies(texts):
+    """Ids that remain if one document of each class of near copies stays, by comparing all pairs."""
+    sets = {}
+    for i, t in texts.items():
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)}
+    label = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if j < i and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = {k: new if v == old else v for k, v in label.items()}
+    return set(label.values())
+
+
+def targets(sizes):
+    """Targets of sources by plain rounds. sizes: (source, words)."""
+    total = {}
+    for source, n in sizes:
+        total[source] = total.get(source, 0) + n
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(total, key=lambda s: (s is None, s or "")))}
+    out, left, open_ = {}, 1.5 * sum(total.values()), set(total)
+    while open_:
+        unit = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if unit * weight[s] > 2 * total[s]}
+        for s in full or open_:
+            out[s] = 2 * total[s] if full else unit * weight[s]
+        left -= sum(out[s] for s in full)
+        open_ = open_ - full if full else set()
+    return out
+
+
 def test_stages_like_their_operators(spark, folder):
     path, rows = folder
     now = spark.read.parquet(f"{path}/documents.parquet")
@@ -44,6 +76,7 @@ def test_stages_like_their_operators(spark, folder):
     assert not any(i % 12 == 5 for i in kept if i < 1000) and sum(i < 1000 for i in kept) >= 215
     classes = {r["doc_id"]: r["component_id"] for r in jaccard.join(good, 5, 80, 100).collect()}
     assert {r["doc_id"] for r in unique.collect()} == {i for i, c in classes.items() if i == c}
+    assert {r["doc_id"] for r in unique.collect()} == first_of_near_copies({r["doc_id"]: r["text"] for r in good.collect()})
     before = {r["doc_id"]: r["text"] for r in unique.collect()}
     for r in clean.collect():
         assert r["text"] == pii.redact(before[r["doc_id"]], pii.scan(before[r["doc_id"]])) and r["n_chars"] == len(r["text"]) and "@mail" not in r["text"]
@@ -52,6 +85,9 @@ def test_stages_like_their_operators(spark, folder):
     for r in mixed.collect():
         count[r["doc_id"]] = count.get(r["doc_id"], 0) + 1
     assert count == {i: c for i, c in copies.items() if c}
+    size = {r["doc_id"]: (r["source"], len(r["text"].split())) for r in clean.collect()}
+    for source, target in targets(size.values()).items():
+        assert abs(sum(c * size[i][1] for i, c in count.items() if size[i][0] == source) - target) <= 0.01 * target
     encoder = ByteBPE(corpus_pipeline.public_tokenizers.path("byte_bpe_50k.json"))
     text = {r["doc_id"]: r["text"] for r in mixed.collect()}
     assert tokens.count() == sum(count.values())
