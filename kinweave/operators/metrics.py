@@ -51,7 +51,7 @@ def threshold_sweep(universe: DataFrame, edges: DataFrame, scored: DataFrame, gr
     grid = grid or [(2 + i) / 40 for i in range(37)]
     spark = universe.sparkSession
     level = F.array_max(F.transform(F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(t)).alias("t")) for k, t in enumerate(grid)]), lambda s: s["t"] <= F.col("prob")), lambda s: s["k"]))
-    labelled = scored.join(edges.select("s1_id", "other_id", F.lit(1).alias("hit")), ["s1_id", "other_id"], "left").withColumn("k", level).filter("k is not null")
+    labelled = scored.join(edges.select("s1_id", "other_id", F.lit(1).alias("hit")), ["s1_id", "other_id"], "left").withColumn("k", F.coalesce(level, F.lit(-1)))  # no filter: it would move down and compute prob for every step
     at = labelled.groupBy("s1_id", "k").agg(F.count("*").alias("n"), F.coalesce(F.sum("hit"), F.lit(0)).alias("h"))
     base = universe.select("s1_id").distinct().join(edges.groupBy("s1_id").agg(F.count("*").alias("n_true")), "s1_id", "left").fillna(0, ["n_true"])
     down = Window.partitionBy("s1_id").orderBy(F.desc("k"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..config import LinkConfig
 from ..functions.normalize import LEGAL_FORMS, STREET_WORDS
 
 MAX_DF, PREFIX_CAP, MOST = 50, 2_000, 300
@@ -296,3 +297,5 @@ SQL: dict[str, str] = {
 }
 
 SQL["validate_files"] = f"SELECT * FROM ({SQL['validate_lists']}) UNION ALL SELECT * FROM ({SQL['validate_subset']})"
+_DEFAULTS = LinkConfig()
+SQL["candidate_recall_defaults"] = SQL["candidate_recall"].replace(f"df <= {MAX_DF}", f"df <= {_DEFAULTS.max_df}").replace(f"a.n * b.n <= {PREFIX_CAP}", f"a.n * b.n <= {_DEFAULTS.max_pairs_per_prefix_key}")

@@ -216,6 +216,13 @@ def candidate_recall(spark, d):
     return metrics.candidate_recall(fixtures.truth(spark, d)[0], _candidates(spark, d)).withColumn("recall", F.round("recall", 9))
 
 
+@query
+def candidate_recall_defaults(spark, d):
+    """Recall of the candidates that a run makes with its default caps, which hardly bite on the fixture."""
+    s1, s2, s3 = fixtures.normed(spark, d)
+    return metrics.candidate_recall(fixtures.truth(spark, d)[0], link.candidates(s1, [s2, s3], LinkConfig())).withColumn("recall", F.round("recall", 9))
+
+
 @query
 def entity_fbeta(spark, d):
     edges, universe = fixtures.truth(spark, d)
