@@ -158,3 +158,11 @@ def test_repeated_ids(spark):
     vectors = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0]), (2, [0.1, 1.0])]
     found = ann.search(table(spark, vectors), F.col("id") == 0, k=1).collect()
     assert sorted((r["rank"], r["vec_id"], r["score"] > 0.9) for r in found) == [(1, 1, True), (1, 2, True)]
+
+
+def test_recall_on_the_given_table(spark):
+    d = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding").collect()
+    got, want = answers(ann.search(spark.read.parquet(f"{d}/embeddings.parquet"), F.col("id") % 20 == 0)), brute([tuple(r) for r in rows], 20, 20)
+    assert set(got) == set(want)
+    assert np.mean([len({j for _, j in got[i]} & {j for _, j in want[i]}) / 20 for i in want]) >= 0.9
