@@ -318,8 +318,9 @@ def _whole(column: pd.Series, kind: type) -> np.ndarray:
 def sets_table(given: DataFrame, words: int, scheme: Scheme, buckets: int) -> DataFrame:
     """All that is made of the texts, in one pass over them. given: id (0 where it is null), known (whether it isn't), text.
 
-    Rows with bucket -1 are facts: id, known, n (shingles), f1 and f2 (fingerprint of the set) and its sketch. The others
-    are the signatures of each batch of sets by bucket, packed: sigs with ids; every_sigs with every_ids; tie_a, tie_b.
+    Rows of facts have id, known, n (shingles), f1 and f2 (fingerprint of the set) and its sketch; they are dealt evenly to
+    the buckets. The others are the signatures of each batch of sets by bucket, packed: sigs with ids; every_sigs with
+    every_ids; tie_a, tie_b.
     Where a batch has very many sets with one signature, only the smallest id carries it on, among every_sigs: it stands
     for all of them, to which it is tied.
     """
@@ -329,17 +330,19 @@ def sets_table(given: DataFrame, words: int, scheme: Scheme, buckets: int) -> Da
             frame = frame.sort_values("id", kind="stable")
             ids, known = frame["id"].to_numpy(np.int64), frame["known"].to_numpy(bool)
             sets = _frame_sets(frame, words)
-            facts = {"id": ids, "known": known, "n": [len(s) for s in sets], "bucket": -1, "sketch": [sketch(s).tobytes() for s in sets]}
+            facts = {"id": ids, "known": known, "n": [len(s) for s in sets], "bucket": ((mix(ids.view(_U), 63) + np.arange(len(ids), dtype=_U)) % _U(buckets)).astype(np.int32), "fact": True, "sketch": [sketch(s).tobytes() for s in sets]}
             facts |= {f"f{k}": [int(mix(s, 40 + k).sum(dtype=_U).view(np.int64)) for s in sets] for k in (1, 2)}
             yield pd.DataFrame(facts).assign(**dict.fromkeys(PACKED))
             rows = _signature_rows(ids[known], [s for s, k in zip(sets, known, strict=True) if k], scheme, buckets)
             if rows:
-                yield pd.DataFrame(rows, columns=["bucket", *PACKED]).assign(id=0, known=False, n=0, f1=0, f2=0, sketch=None)
+                yield pd.DataFrame(rows, columns=["bucket", *PACKED]).assign(**NO_FACT)
 
-    return given.mapInPandas(run, "id bigint, known boolean, n bigint, f1 bigint, f2 bigint, sketch binary, bucket int, " + ", ".join(f"{c} binary" for c in PACKED))
+    return given.mapInPandas(run, f"bucket int, {FACTS}, " + ", ".join(f"{c} binary" for c in PACKED))
 
 
 PACKED = ("sigs", "ids", "every_sigs", "every_ids", "tie_a", "tie_b")
+FACTS = "fact boolean, id bigint, known boolean, n bigint, f1 bigint, f2 bigint, sketch binary"
+NO_FACT = {"fact": False, "id": 0, "known": False, "n": 0, "f1": 0, "f2": 0, "sketch": None}
 
 
 def _signature_rows(ids: np.ndarray, sets: list[np.ndarray], scheme: Scheme, buckets: int) -> list[tuple]:
@@ -371,9 +374,11 @@ def _signature_rows(ids: np.ndarray, sets: list[np.ndarray], scheme: Scheme, buc
 
 def sharers_of(table: DataFrame, buckets: int) -> DataFrame:
     """Groups of sets that share a signature, packed by a bucket of their smallest id (near, lengths, members), and ties
-    (tie_a, tie_b) of those that need no sketches. Of signatures with the same sharers, one is enough."""
+    (tie_a, tie_b) of those that need no sketches. Of signatures with the same sharers, one is enough. Facts go through."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        facts = frame.loc[frame["fact"], list(NO_FACT)].assign(near=-2, lengths=None, members=None, tie_a=None, tie_b=None)
+        frame = frame[~frame["fact"]]
         sig = np.concatenate((_whole(frame["sigs"], _U), _whole(frame["every_sigs"], _U)))
         ids, every_ids = _whole(frame["ids"], np.int64), _whole(frame["every_ids"], np.int64)
         every = np.concatenate((np.zeros(len(ids), bool), np.ones(len(every_ids), bool)))
@@ -410,9 +415,10 @@ def sharers_of(table: DataFrame, buckets: int) -> DataFrame:
         pairs = np.unique(np.stack((a, b), 1)[a != b], axis=0)
         if len(pairs):
             rows.append((-1, b"", b"", _blob(pairs[:, 0]), _blob(pairs[:, 1])))
-        return pd.DataFrame(rows, columns=["near", "lengths", "members", "tie_a", "tie_b"])
+        found = pd.DataFrame(rows, columns=["near", "lengths", "members", "tie_a", "tie_b"]).assign(**NO_FACT)
+        return pd.concat([x for x in (facts, found) if len(x)]) if len(facts) or len(found) else found
 
-    return table.groupBy("bucket").applyInPandas(run, "near int, lengths binary, members binary, tie_a binary, tie_b binary")
+    return table.groupBy("bucket").applyInPandas(run, f"near int, lengths binary, members binary, tie_a binary, tie_b binary, {FACTS}")
 
 
 def ties_of(groups: DataFrame, facts: DataFrame, scheme: Scheme) -> DataFrame:
@@ -452,7 +458,7 @@ def ties_of(groups: DataFrame, facts: DataFrame, scheme: Scheme) -> DataFrame:
     wanted = packed.select("near", "members").groupBy("near").applyInPandas(members, "near int, id bigint")
     sets = wanted.join(facts.select("id", F.col("n").alias("size"), "sketch"), "id")
     close = packed.groupBy("near").cogroup(sets.groupBy("near")).applyInPandas(unruled, "a bigint, b bigint")
-    return close.unionByName(groups.filter("near < 0").mapInPandas(plain, "a bigint, b bigint"))
+    return close.unionByName(groups.filter("near = -1").select("tie_a", "tie_b").mapInPandas(plain, "a bigint, b bigint"))
 
 
 def join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -462,12 +468,12 @@ def join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     buckets = parts_for(text_bytes(texts), BUCKET_BYTES)
     known = F.col("id").isNotNull()
-    sets = materialize(sets_table(texts.select(F.coalesce("id", F.lit(0)).alias("id"), known.alias("known"), "text"), words, scheme, buckets), "shingle-sets")
-    facts = sets.filter("bucket < 0").select(F.when(F.col("known"), F.col("id")).alias("id"), "n", "f1", "f2", "sketch")
+    given = texts.select(F.coalesce("id", F.lit(0)).alias("id"), known.alias("known"), "text")
+    # the texts are read once, and their sets' facts and signatures go through one exchange
+    sets = materialize(sharers_of(sets_table(given, words, scheme, buckets), buckets), "shingle-sets")
+    facts = sets.filter("fact").select(F.when(F.col("known"), F.col("id")).alias("id"), "n", "f1", "f2", "sketch")
     leaders = facts.filter("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("leader"), F.count("*").alias("rows"))
-    sharers = materialize(sharers_of(sets.filter("bucket >= 0").select("bucket", *PACKED), buckets), "sharers")
-    groups = components(ties_of(sharers, facts, scheme))
-    discard(sharers)
+    groups = components(ties_of(sets.filter("not fact"), facts, scheme))
 
     # of equal sets, only the one with the smallest id goes on
     ones = leaders.join(groups.withColumnRenamed("component", "grp"), F.col("leader") == F.col("id")).select("id", "n", "grp")
