@@ -105,12 +105,20 @@ def pair_frame(candidates: DataFrame, s1: DataFrame, other: DataFrame) -> DataFr
 
 
 def chunks(s1: DataFrame, size: int) -> DataFrame:
-    """S1 with a chunk number by id order: ranks within ranges come from counts of ranges, no task sorts all."""
+    """S1 with a chunk number by id order: ranks within ranges come from counts of ranges, no task sorts all.
+
+    The ranges' bounds are ids with the smallest hashes, so that every evaluation finds the same ones; those of
+    repartitionByRange come from a sample that differs between two branches of one plan.
+    """
     if size <= 0:
         return s1.withColumn("chunk_id", F.lit(0).cast("long"))
-    spark = s1.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = s1.repartitionByRange(n, "entity_id").withColumn("part", F.spark_partition_id())
-    ranked = sorted_.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("entity_id")))
-    before = ranked.groupBy("part").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
+    n, each = int(s1.sparkSession.conf.get("spark.sql.shuffle.partitions")), 20
+    step = int(n**0.5) + 1
+    drawn = s1.select("entity_id").orderBy(F.xxhash64("entity_id"), "entity_id").limit(n * each).agg(F.sort_array(F.collect_list("entity_id")).alias("ids"))
+    bounds = drawn.select(F.filter("ids", lambda _, i: i % each == each - 1).alias("fine"), F.filter("ids", lambda _, i: i % (each * step) == each - 1).alias("coarse"))
+    below = lambda ids: F.size(F.filter(ids, lambda x: x <= F.col("entity_id")))
+    parted = s1.crossJoin(F.broadcast(bounds)).withColumn("first", F.greatest(below("coarse") - 1, F.lit(0)) * step)
+    parted = parted.withColumn("part", F.col("first") + below(F.slice("fine", F.col("first") + 1, F.lit(step)))).drop("first", "fine", "coarse")
+    ranked = parted.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("entity_id")))
+    before = parted.groupBy("part").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
     return ranked.join(F.broadcast(before), "part").withColumn("chunk_id", F.floor((F.col("before") + F.col("at") - 1) / size)).drop("part", "at", "before")

@@ -360,3 +360,18 @@ def test_token_caps_by_chunk(spark, data):
     chunked = blocking.chunks(s1, 50)
     slices = [pairs_of(blocking.by_tokens(chunked.filter(F.col("chunk_id") == k), s2, max_df=20, cap_s1=True)) for k in range(4)]
     assert pairs_of(blocking.by_tokens(chunked, s2, max_df=20, cap_s1=True, chunk="chunk_id")) == set().union(*slices)
+
+
+def test_chunks_are_the_same_in_every_branch(spark):
+    """More rows than a range exchange samples, and columns of which the counts need none."""
+    s1 = spark.range(40_000).select(F.concat(F.lit("S1-"), F.col("id").cast("string")).alias("entity_id"), F.sha2(F.col("id").cast("string"), 256).alias("norm_name"), F.lit("x").alias("country"))
+    rows = blocking.chunks(s1, 300).select("entity_id", "norm_name", "chunk_id").collect()
+    want = {e: k // 300 for k, e in enumerate(sorted(f"S1-{k}" for k in range(40_000)))}
+    assert {r["entity_id"]: r["chunk_id"] for r in rows} == want and len(rows) == 40_000
+
+
+def test_prefix_pairs_by_chunk_of_many(spark):
+    """Each key has one row of a chunk, so that every pair is below the cap only with right chunks."""
+    s1 = spark.range(30_000).select(F.format_string("S1-%05d", "id").alias("entity_id"), F.format_string("%04d", F.col("id") % 300).alias("norm_name"), F.sha2(F.col("id").cast("string"), 256).alias("note"), F.lit("x").alias("country"))
+    s2 = spark.range(300).select(F.format_string("S2-%05d", "id").alias("entity_id"), F.format_string("%04d", "id").alias("norm_name"), F.lit("x").alias("country"))
+    assert blocking.by_prefix(blocking.chunks(s1, 300), s2, 4, 1, chunk="chunk_id").count() == 30_000
