@@ -375,3 +375,10 @@ def test_prefix_pairs_by_chunk_of_many(spark):
     s1 = spark.range(30_000).select(F.format_string("S1-%05d", "id").alias("entity_id"), F.format_string("%04d", F.col("id") % 300).alias("norm_name"), F.sha2(F.col("id").cast("string"), 256).alias("note"), F.lit("x").alias("country"))
     s2 = spark.range(300).select(F.format_string("S2-%05d", "id").alias("entity_id"), F.format_string("%04d", "id").alias("norm_name"), F.lit("x").alias("country"))
     assert blocking.by_prefix(blocking.chunks(s1, 300), s2, 4, 1, chunk="chunk_id").count() == 30_000
+
+
+def test_token_pairs_by_chunk_of_many(spark):
+    """Each token is in one row of a chunk, so that every pair is below the cap only with right chunks."""
+    s1 = spark.range(30_000).select(F.format_string("S1-%05d", "id").alias("entity_id"), F.format_string("%04d", F.col("id") % 300).alias("norm_name"), F.lit("").alias("norm_addr"), F.lit("x").alias("country"))
+    s2 = spark.range(300).select(F.format_string("S2-%05d", "id").alias("entity_id"), F.format_string("%04d", "id").alias("norm_name"), F.lit("").alias("norm_addr"))
+    assert blocking.by_tokens(blocking.chunks(s1, 300), s2, max_df=1, cap_s1=True, chunk="chunk_id").count() == 30_000
