@@ -382,3 +382,34 @@ def test_token_pairs_by_chunk_of_many(spark):
     s1 = spark.range(30_000).select(F.format_string("S1-%05d", "id").alias("entity_id"), F.format_string("%04d", F.col("id") % 300).alias("norm_name"), F.lit("").alias("norm_addr"), F.lit("x").alias("country"))
     s2 = spark.range(300).select(F.format_string("S2-%05d", "id").alias("entity_id"), F.format_string("%04d", "id").alias("norm_name"), F.lit("").alias("norm_addr"))
     assert blocking.by_tokens(blocking.chunks(s1, 300), s2, max_df=1, cap_s1=True, chunk="chunk_id").count() == 30_000
+
+
+def test_best_products_hold_against_brute_force(spark):
+    """Dense and sparse parts, copies beyond k and ties, with few vectors in a block."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(f"{s}-{i:03d}", int(g), float(w)) for s in ("a", "b") for i in range(90) for g, w in zip(np.unique(np.r_[rng.integers(0, 6, 3), rng.integers(6, 500, 4)]), rng.random(7) + 0.1)]
+    rows += [(f"b-9{i:02d}", g, 1.0) for i in range(40) for g in (1, 2, 7)]
+    full = {}
+    for e, g, w in rows:
+        full.setdefault(e, np.zeros(500))[g] = w
+    unit = {e: v / np.linalg.norm(v) for e, v in full.items()}
+    refs = [e for e in unit if e[0] == "b"]
+    want = {(q, r) for q in unit if q[0] == "a" for r in sorted((r for r in refs if round(unit[q] @ unit[r], 9) > 0), key=lambda r: (-round(unit[q] @ unit[r], 9), r))[:5]}
+    df = spark.createDataFrame(rows, "id string, gram long, weight double")
+    for size in (topk.SPARSE_QUERIES, 32):
+        found = {}
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(topk, "SPARSE_QUERIES", size)
+            m.setattr(topk, "SPARSE_REFS", size)
+            for r in topk.best_products(df.filter("id < 'b'"), df.filter("id > 'b'"), (90, 130, 900), 5, 9, True).collect():
+                found.setdefault(r["s1_id"], []).append((-r["sim"], r["other_id"]))
+        assert {(q, r) for q, x in found.items() for _, r in sorted(x)[:5]} == want
+
+
+def test_grams_compute_the_text_once(spark, data):
+    """Only the lists that are exploded come from the text; no inferred filter repeats its cleaning."""
+    for grams in (topk.word_grams, topk.char_grams):
+        plan = grams(fixtures.normed(spark, SF)[0])._jdf.queryExecution().optimizedPlan().toString()
+        assert not [x for x in plan.splitlines() if "Filter" in x and "regexp_replace" in x]
