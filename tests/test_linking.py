@@ -406,3 +406,18 @@ def test_best_products_hold_against_brute_force(spark):
             for r in topk.best_products(df.filter("id < 'b'"), df.filter("id > 'b'"), (90, 130, 900), 5, 9, True).collect():
                 found.setdefault(r["s1_id"], []).append((-r["sim"], r["other_id"]))
         assert {(q, r) for q, x in found.items() for _, r in sorted(x)[:5]} == want
+
+
+def test_all_pairs_by_blocks(spark, data):
+    """Every pair with its number of shared tokens, also with few records in a block, and no pair goes through a shuffle."""
+    s1, s2, *_ = data
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = rows(blocking.match(blocking.postings(s1), blocking.postings(s2)))
+    found = blocking.by_rare_tokens(s1, s2)
+    assert rows(found) == want and found.columns == ["s1_id", "other_id", "shared"]
+    assert "s1_id" not in "".join(x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x)
+    with pytest.MonkeyPatch.context() as m:
+        for name, size in (("SPARSE_QUERIES", 16), ("SPARSE_REFS", 16), ("PAIR_QUERIES", 50), ("PAIR_REFS", 50), ("PAIR_ROWS", 7)):
+            m.setattr(topk, name, size)
+        assert rows(blocking.by_rare_tokens(s1, s2)) == want
+    assert blocking.by_rare_tokens(s1.limit(0), s2).count() == blocking.by_rare_tokens(s1, s2.limit(0)).count() == 0
