@@ -52,17 +52,38 @@ def vectors_of(s1: DataFrame, others: list[DataFrame], config: LinkConfig, encod
     return encoded(s1, encoder), together([encoded(o, encoder) for o in others])
 
 
+def ranked_by_tokens(s1: DataFrame, others: list[DataFrame], min_len: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Each entity's best pairs by shared tokens with all other sources, and the records of S1 that have fewer than `most`.
+
+    Pairs of other channels share 0 and rank after these, so that only those records have room for them.
+    """
+    from ..sources import cache
+
+    spark, at = s1.sparkSession, cache.scratch(s1.sparkSession, "ranked")
+    for other in others:
+        blocking.best_by_rare_tokens(s1, other, min_len, most).write.mode("append").parquet(f"{at}/best")
+    best = spark.read.parquet(f"{at}/best")
+    full = best.groupBy("s1_id").agg(F.count("*").alias("n")).filter(F.col("n") >= most).select(F.col("s1_id").alias("entity_id"))
+    s1.join(full, "entity_id", "left_anti").write.parquet(f"{at}/asking")
+    return best, spark.read.parquet(f"{at}/asking")
+
+
 def candidates(s1: DataFrame, others: list[DataFrame], config: LinkConfig, vectors: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Candidate pairs of S1 with every other source by the channels that the settings name, capped.
 
     vectors: (id, vector) of S1 and of the other sources, for the dense channel; it is under the cap like the others.
     """
-    found = []
+    found, most, asking = [], config.max_cands_per_entity, s1
+    by_best = config.use_tfidf and not config.use_rare and most > 0
+    if by_best:
+        best, asking = ranked_by_tokens(s1, others, config.min_len, most)
+        found.append(best)
     for other in others:
         if config.use_tfidf:
             for grams in (topk.char_grams, topk.word_grams):
-                found.append(topk.tfidf_topk(grams(s1), grams(other), config.tfidf_top_k).select("s1_id", "other_id", F.lit(0).cast("long").alias("shared")))
-            found.append(blocking.by_rare_tokens(s1, other, config.min_len))
+                found.append(topk.tfidf_topk(grams(asking), grams(other), config.tfidf_top_k).select("s1_id", "other_id", F.lit(0).cast("long").alias("shared")))
+            if not by_best:
+                found.append(blocking.by_rare_tokens(s1, other, config.min_len))
         else:
             found.append(blocking.by_tokens(s1, other, config.min_len, config.max_df))
             found.append(blocking.by_prefix(s1, other, config.prefix_len, config.max_pairs_per_prefix_key))
@@ -71,7 +92,7 @@ def candidates(s1: DataFrame, others: list[DataFrame], config: LinkConfig, vecto
     if config.use_dense and vectors is not None:
         near = topk.dense_topk_cells(vectors[0], vectors[1], config.dense_top_k, config.dense_min_score)
         found.append(near.select(F.col("query_id").alias("s1_id"), F.col("ref_id").alias("other_id"), F.lit(0).cast("long").alias("shared")))
-    return blocking.cap_ranked(blocking.union(*found), config.max_cands_per_entity)
+    return blocking.cap_ranked(blocking.union(*found), most)
 
 
 def features(cands: DataFrame, s1: DataFrame, others: list[DataFrame]) -> DataFrame:

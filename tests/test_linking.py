@@ -421,3 +421,22 @@ def test_all_pairs_by_blocks(spark, data):
             m.setattr(topk, name, size)
         assert rows(blocking.by_rare_tokens(s1, s2)) == want
     assert blocking.by_rare_tokens(s1.limit(0), s2).count() == blocking.by_rare_tokens(s1, s2.limit(0)).count() == 0
+
+
+def test_candidates_by_tfidf_are_the_channels_best(spark, data):
+    """As by all pairs of all channels; TF-IDF is asked only for records with room for its pairs."""
+    s1, s2, s3, *_ = data
+    config = LinkConfig(use_tfidf=True, max_cands_per_entity=8)
+    rows = lambda df: sorted(map(tuple, df.select("s1_id", "other_id", "shared").collect()))
+    every = []
+    for o in (s2, s3):
+        every += [topk.tfidf_topk(g(s1), g(o)).select("s1_id", "other_id", F.lit(0).cast("long").alias("shared")) for g in (topk.char_grams, topk.word_grams)]
+        every.append(blocking.match(blocking.postings(s1), blocking.postings(o)))
+    want = rows(blocking.cap_ranked(blocking.union(*every), 8))
+    asked, first = [], topk.tfidf_topk
+    with pytest.MonkeyPatch.context() as m:
+        for name in ("SPARSE_QUERIES", "SPARSE_REFS"):
+            m.setattr(topk, name, 16)
+        m.setattr(topk, "tfidf_topk", lambda q, *a: asked.append({r[0] for r in q.select("entity_id").collect()}) or first(q, *a))
+        assert rows(link.candidates(s1, [s2, s3], config)) == want
+    assert {0} < {x[2] for x in want} and max(map(len, asked)) < s1.count()
