@@ -18,10 +18,26 @@ def src_of(column: str) -> F.Column:
     return F.substring(column, 1, 2)
 
 
+def words_of(min_len: int = 4) -> F.Column:
+    """The distinct tokens of name and address together."""
+    return F.array_union(rare_tokens(F.col("norm_name"), min_len), rare_tokens(F.col("norm_addr"), min_len))
+
+
 def postings(normed: DataFrame, min_len: int = 4, *more: str) -> DataFrame:
-    """entity_id, src, token and `more`: the distinct tokens of name and address together."""
-    both = F.array_union(rare_tokens(F.col("norm_name"), min_len), rare_tokens(F.col("norm_addr"), min_len))
-    return normed.select("entity_id", src_of("entity_id").alias("src"), F.explode(both).alias("token"), *more)
+    """entity_id, src, token and `more`: the distinct tokens of each row's name and address together."""
+    return normed.select("entity_id", src_of("entity_id").alias("src"), F.explode(words_of(min_len)).alias("token"), *more)
+
+
+def postings_of_ids(normed: DataFrame, min_len: int = 4, chunk: str | None = None) -> DataFrame:
+    """entity_id, src and token: an id's tokens once, however many rows it has. Rows without id take no part.
+
+    With `chunk`, a column, the tokens are there once for each row of the id, in that row's chunk: rows of one id that a
+    chunk's end parts are of both chunks, whichever text is in which.
+    """
+    rows = normed.filter(F.col("entity_id").isNotNull()).select("entity_id", words_of(min_len).alias("words"), *([chunk] if chunk else []))
+    by_id = rows.groupBy("entity_id").agg(F.array_distinct(F.flatten(F.collect_set("words"))).alias("words"), *([F.collect_list(chunk).alias(chunk)] if chunk else []))
+    out = by_id.select("entity_id", src_of("entity_id").alias("src"), F.explode("words").alias("token"), *([chunk] if chunk else []))
+    return out.withColumn(chunk, F.explode(chunk)) if chunk else out
 
 
 def token_grams(normed: DataFrame, min_len: int = 4) -> DataFrame:
@@ -71,8 +87,8 @@ def by_tokens(s1: DataFrame, other: DataFrame, min_len: int = 4, max_df: int = 3
     With cap_s1, the frame has a row for each pair and source only if the token is rare on both sides. chunk: a column of
     s1 by which its frequencies are taken, for results as of runs that take S1 in chunks.
     """
-    left = postings(s1, min_len, *([chunk] if chunk else []))
-    return match(capped(left, max_df, chunk=chunk) if cap_s1 else left, capped(postings(other, min_len), max_df))
+    left = postings_of_ids(s1, min_len, chunk)
+    return match(capped(left, max_df, chunk=chunk) if cap_s1 else left, capped(postings_of_ids(other, min_len), max_df))
 
 
 def by_rare_band(s1: DataFrame, other: DataFrame, min_len: int = 6, max_df: int = 300, max_df_long: int = 2000) -> DataFrame:
@@ -123,7 +139,7 @@ def pair_frame(candidates: DataFrame, s1: DataFrame, other: DataFrame) -> DataFr
 
 
 def chunks(s1: DataFrame, size: int) -> DataFrame:
-    """S1 with a chunk number by id order: ranks within ranges come from counts of ranges, no task sorts all.
+    """S1 with a chunk number by id order, null ids last: ranks within ranges come from counts of ranges, no task sorts all.
 
     The ranges' bounds are ids with the smallest hashes, so that every evaluation finds the same ones; those of
     repartitionByRange come from a sample that differs between two branches of one plan.
@@ -132,11 +148,13 @@ def chunks(s1: DataFrame, size: int) -> DataFrame:
         return s1.withColumn("chunk_id", F.lit(0).cast("long"))
     n, each = int(s1.sparkSession.conf.get("spark.sql.shuffle.partitions")), 20
     step = int(n**0.5) + 1
-    drawn = s1.select("entity_id").orderBy(F.xxhash64("entity_id"), "entity_id").limit(n * each).agg(F.sort_array(F.collect_list("entity_id")).alias("ids"))
+    ids, null = s1.select("entity_id").filter(F.col("entity_id").isNotNull()), F.col("entity_id").isNull()
+    drawn = ids.orderBy(F.xxhash64("entity_id"), "entity_id").limit(n * each).agg(F.sort_array(F.collect_list("entity_id")).alias("ids"))
     bounds = drawn.select(F.filter("ids", lambda _, i: i % each == each - 1).alias("fine"), F.filter("ids", lambda _, i: i % (each * step) == each - 1).alias("coarse"))
     below = lambda ids: F.size(F.filter(ids, lambda x: x <= F.col("entity_id")))
     parted = s1.crossJoin(F.broadcast(bounds)).withColumn("first", F.greatest(below("coarse") - 1, F.lit(0)) * step)
-    parted = parted.withColumn("part", F.col("first") + below(F.slice("fine", F.col("first") + 1, F.lit(step)))).drop("first", "fine", "coarse")
+    part = F.col("first") + below(F.slice("fine", F.col("first") + 1, F.lit(step)))
+    parted = parted.withColumn("part", F.when(null, n + 1).otherwise(part)).drop("first", "fine", "coarse")
     ranked = parted.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("entity_id")))
     before = parted.groupBy("part").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
     return ranked.join(F.broadcast(before), "part").withColumn("chunk_id", F.floor((F.col("before") + F.col("at") - 1) / size)).drop("part", "at", "before")

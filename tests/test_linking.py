@@ -1,5 +1,6 @@
 import warnings
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -440,3 +441,32 @@ def test_candidates_by_tfidf_are_the_channels_best(spark, data):
         m.setattr(topk, "tfidf_topk", lambda q, *a: asked.append({r[0] for r in q.select("entity_id").collect()}) or first(q, *a))
         assert rows(link.candidates(s1, [s2, s3], config)) == want
     assert {0} < {x[2] for x in want} and max(map(len, asked)) < s1.count()
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """Documents with null ids and with ids of several rows, whose words neighbours by id share."""
+    texts = [(k, f"group{k // 17}x wide{k // 35}y tail{k % 90}z some words of document {k % 7}", "en") for k in range(2_000)]
+    texts = [(None if k % 50 == 3 else k, t, x) for k, t, x in texts] + [(k, t, x) for k, t, x in texts if k % 20 == 5] + [(k, f"other{k % 40}q group{k // 30}x", "en") for k in range(2_000) if k % 20 == 6]
+    at = tmp_path_factory.mktemp("odd")
+    spark.createDataFrame(texts, "doc_id long, text string, lang string").repartition(5).write.parquet(f"{at}/documents.parquet")
+    return str(at)
+
+
+@pytest.mark.parametrize("name", ["block_token_by_chunk", "block_token_both_caps", "block_token_other_cap", "chunk_slices"])
+def test_odd_ids_like_sql(spark, odd, name):
+    from kinweave.plans import queries
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{odd}/documents.parquet/*.parquet')")
+    found = c.execute(queries.ORACLE_SQL[name])
+    names = [x[0] for x in found.description]
+    want = sorted(map(str, found.fetchall()))
+    assert sorted(str(tuple(r)) for r in queries.QUERIES[name](spark, odd).select(*names).collect()) == want and want
+
+
+def test_null_ids_come_last_in_chunks(spark):
+    s1 = spark.range(100).select(F.when(F.col("id") % 4 > 0, F.format_string("S1-%03d", "id")).alias("entity_id"))
+    got = [(r["entity_id"], r["chunk_id"]) for r in blocking.chunks(s1, 30).collect()]
+    ids = sorted(e for e, _ in got if e)
+    assert {e: c for e, c in got if e} == {e: k // 30 for k, e in enumerate(ids)} and sorted(c for e, c in got if not e) == [2] * 15 + [3] * 10
