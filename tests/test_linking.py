@@ -409,6 +409,45 @@ def test_best_products_hold_against_brute_force(spark):
         assert {(q, r) for q, x in found.items() for _, r in sorted(x)[:5]} == want
 
 
+def test_near_block_after_far_ones_is_bounded_by_its_own_best(monkeypatch):
+    """Few pairs are scored in double precision, though all of the second block are nearer than any of the first."""
+    import numpy as np
+
+    def block(n, grams, seed):
+        w = np.random.default_rng(seed).random((n, len(grams))) + 0.1
+        w /= np.linalg.norm(w, axis=1, keepdims=True)
+        return topk.Packed(np.array(grams), np.repeat(np.arange(n), len(grams)), np.tile(np.arange(len(grams)), n), w.ravel(), n), w
+
+    (q, a), (far, b), (near, c) = block(30, range(9), 1), block(200, range(8, 17), 2), block(300, range(9), 3)
+    asked, first = [], topk.exact
+    monkeypatch.setattr(topk, "exact", lambda q, r, x, y: asked.append(len(x)) or first(q, r, x, y))
+    best = topk.Best(q, 5, 9)
+    best.meet(far, np.array([f"a{i:03d}" for i in range(200)], object))
+    best.meet(near, np.array([f"b{i:03d}" for i in range(300)], object))
+    x, ids, value = best.result()
+    assert sum(asked) < 30 * 5 * 8 and np.allclose(value.reshape(30, 5), -np.sort(-np.round(a @ c.T, 9), 1)[:, :5])
+
+
+def test_char_search_of_texts_is_that_of_grams(spark, data):
+    """Copies beyond k, permuted words, ids of two rows, null ids, odd spaces, several kinds and blocks; no gram is shuffled."""
+    s1, s2, *_ = (x.select("entity_id", "norm_name", "norm_addr") for x in data[:3])
+    more = [(f"-c{i:02d}", "copied name", "of one street") for i in range(20)] + [(f"-p{i}", "name copied", "street one of") for i in range(4)] + [("-two", "first row", "x"), ("-two", "second row", "y"), ("-none", "", ""), ("-wide", "", "z  \U0001f600\u00e9 ")]
+    s1, s2 = (x.unionByName(spark.createDataFrame([(p + i, n, a) for i, n, a in more], "entity_id string, norm_name string, norm_addr string")) for x, p in ((s1, "S1"), (s2, "S2")))
+    rows = lambda df: sorted(map(tuple, df.select("s1_id", "other_id", "sim", "rank").collect()))
+    want = rows(topk.tfidf_topk(topk.char_grams(s1), topk.char_grams(s2), 4))
+    null = spark.createDataFrame([(None, "copied name", "z")], "entity_id string, norm_name string, norm_addr string")
+    found = topk.char_topk(s1.unionByName(null), s2.unionByName(null), 4)
+    assert rows(found) == want
+    assert "gram#" not in "".join(x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x)
+    with pytest.MonkeyPatch.context() as m:
+        for name, value in (("SPARSE_QUERIES", 30), ("TEXT_REFS", 17), ("TEXT_BLOCKS", 2), ("TEXT_KINDS", 5)):
+            m.setattr(topk, name, value)
+        assert rows(topk.char_topk(s1, s2, 4)) == want
+        m.setattr(topk, "HELD_GRAMS", 10)
+        assert rows(topk.char_topk(s1, s2, 4)) == want
+    assert topk.char_topk(s1, s2.limit(0), 4).count() == topk.char_topk(s1.limit(0), s2, 4).count() == 0
+
+
 def test_all_pairs_by_blocks(spark, data):
     """Every pair with its number of shared tokens, also with few records in a block, and no pair goes through a shuffle."""
     s1, s2, *_ = data
